@@ -148,7 +148,7 @@ def date_key(c: Column, dtype: T.DataType | None = None) -> Column:
     head = trim_ws(F.split(s, "T", 2).getItem(0))
     iso_like = (F.length(head) == 10) & head.rlike(r"^[0-9]{4}-[^-]*-[^-]*$")
     collapsed = F.regexp_replace(head, r"(?U)\s+", " ")
-    parsed = F.coalesce(*[F.try_to_date(collapsed, F.lit(fmt)) for fmt in DATE_PATTERNS])
+    parsed = F.coalesce(*[F.try_to_date(collapsed, fmt) for fmt in DATE_PATTERNS])
     return (F.when(s == "", F.lit(None).cast("string"))
             .when(iso_like, head)
             .otherwise(F.coalesce(F.date_format(parsed, "yyyy-MM-dd"), head)))

@@ -17,3 +17,8 @@ def _register(module, names):
 
 _register(scoring, ["scorecard_exact", "scorecard_overall", "match_coverage",
                     "mismatch_first10", "category_rollup"])
+
+from . import rule_queries  # noqa: E402
+
+_register(rule_queries, ["rule_text", "rule_enum", "rule_number", "rule_date", "rule_state",
+                         "rule_lists"])
