@@ -22,3 +22,7 @@ from . import rule_queries  # noqa: E402
 
 _register(rule_queries, ["rule_text", "rule_enum", "rule_number", "rule_date", "rule_state",
                          "rule_lists"])
+
+from . import collection_queries  # noqa: E402
+
+_register(collection_queries, ["set_overlap", "set_equal", "count_match", "first_element"])
