@@ -26,3 +26,8 @@ _register(rule_queries, ["rule_text", "rule_enum", "rule_number", "rule_date", "
 from . import collection_queries  # noqa: E402
 
 _register(collection_queries, ["set_overlap", "set_equal", "count_match", "first_element"])
+
+from . import claim_queries  # noqa: E402
+
+_register(claim_queries, ["section_rules", "invented_list", "align_pairs", "record_accuracy",
+                          "error_table"])
