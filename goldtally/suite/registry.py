@@ -31,3 +31,8 @@ from . import claim_queries  # noqa: E402
 
 _register(claim_queries, ["section_rules", "invented_list", "align_pairs", "record_accuracy",
                           "error_table"])
+
+from . import misc_queries  # noqa: E402
+
+_register(misc_queries, ["scores_minmax", "best_row", "methods_pivot", "record_id_slice", "reshape",
+                         "py_literal", "ndjson_roundtrip", "display_name"])
