@@ -36,3 +36,7 @@ from . import misc_queries  # noqa: E402
 
 _register(misc_queries, ["scores_minmax", "best_row", "methods_pivot", "record_id_slice", "reshape",
                          "py_literal", "ndjson_roundtrip", "display_name"])
+
+from . import bundles  # noqa: E402
+
+_register(bundles, ["bundle_practitioners"])
