@@ -40,3 +40,4 @@ _register(misc_queries, ["scores_minmax", "best_row", "methods_pivot", "record_i
 from . import bundles  # noqa: E402
 
 _register(bundles, ["bundle_practitioners"])
+_register(bundles, ["bundle_fields", "bundle_lists"])
