@@ -41,3 +41,8 @@ from . import bundles  # noqa: E402
 
 _register(bundles, ["bundle_practitioners"])
 _register(bundles, ["bundle_fields", "bundle_lists"])
+
+from . import extraction  # noqa: E402
+
+_register(extraction, ["extract_patterns", "extract_structured", "prompt_text", "schema_violations",
+                       "assertions"])
