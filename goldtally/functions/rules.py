@@ -15,9 +15,20 @@ from pyspark.sql import types as T
 # --- text helpers -----------------------------------------------------------
 
 
+# The characters Python's str.strip() removes (str.isspace):
+# ASCII tab..carriage return, file/group/record/unit separators, space,
+# NEL, no-break space, ogham space, en quad..hair space, line and paragraph
+# separators, narrow no-break space, medium mathematical space, ideographic
+# space.
+WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+              + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000")
+
+
 def trim_ws(c: Column) -> Column:
-    """Strip leading/trailing whitespace of any kind (Python ``str.strip``)."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """Strip leading/trailing whitespace of any kind (Python ``str.strip``).
+    ``btrim`` with an explicit character set stays in generated code; Spark's
+    plain ``trim`` would only remove spaces."""
+    return F.btrim(c, F.lit(WHITESPACE))
 
 
 def as_text(c: Column, dtype: T.DataType | None = None) -> Column:
@@ -148,7 +159,12 @@ def date_key(c: Column, dtype: T.DataType | None = None) -> Column:
     head = trim_ws(F.split(s, "T", 2).getItem(0))
     iso_like = (F.length(head) == 10) & head.rlike(r"^[0-9]{4}-[^-]*-[^-]*$")
     collapsed = F.regexp_replace(head, r"(?U)\s+", " ")
-    parsed = F.coalesce(*[F.try_to_date(collapsed, fmt) for fmt in DATE_PATTERNS])
+    # A pattern is only tried on text of its shape: failed parses are costly,
+    # and the shapes are necessary conditions, so results do not change.
+    shapes = [r"^\p{L}+ [0-9]+, [0-9]+$", r"^\p{L}+ [0-9]+, [0-9]+$", r"^[0-9]+/[0-9]+/[0-9]+$",
+              r"^[0-9]+/[0-9]+/[0-9]+$"]
+    parsed = F.coalesce(*[F.when(collapsed.rlike(shape), F.try_to_date(collapsed, fmt))
+                          for shape, fmt in zip(shapes, DATE_PATTERNS)])
     return (F.when(s == "", F.lit(None).cast("string"))
             .when(iso_like, head)
             .otherwise(F.coalesce(F.date_format(parsed, "yyyy-MM-dd"), head)))
