@@ -81,17 +81,24 @@ def date_text_rule(g: Column, p: Column, gtype=None, ptype=None) -> Column:
     return null_frame(g, p, as_text(g, gtype) == as_text(p, ptype))
 
 
-# Numbers in the spelling Python's float() accepts (sign, digits, dot,
-# exponent, surrounding whitespace).  Spark's cast also accepts a trailing
-# 'd'/'f', which Python refuses, so texts are screened first.
-_NUM_TEXT = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
+# Numbers in the spelling Python's float() accepts: sign, digits with single
+# underscores between them, dot, exponent, surrounding whitespace, and the
+# words nan / inf / infinity.  Spark's cast also accepts a trailing 'd'/'f'
+# (which Python refuses) and refuses underscores, so texts are screened and
+# underscores dropped before the cast.
+_DIGITS = r"[0-9](_?[0-9])*"
+_NUM_TEXT = rf"^\s*[+-]?({_DIGITS}(\.({_DIGITS})?)?|\.{_DIGITS})([eE][+-]?{_DIGITS})?\s*$"
 
 
 def to_number(c: Column, dtype: T.DataType | None = None) -> Column:
     if dtype is not None and isinstance(dtype, T.NumericType):
         return c.cast("double")
     text = as_text(c, dtype)
-    return F.when(text.rlike(_NUM_TEXT), trim_ws(text).try_cast("double"))
+    word = F.lower(trim_ws(text))
+    return (F.when(text.rlike(_NUM_TEXT), F.replace(trim_ws(text), F.lit("_"), F.lit("")).try_cast("double"))
+            .when(word.isin("nan", "+nan", "-nan"), F.lit(float("nan")))
+            .when(word.isin("inf", "+inf", "infinity", "+infinity"), F.lit(float("inf")))
+            .when(word.isin("-inf", "-infinity"), F.lit(float("-inf"))))
 
 
 def number_rule(g: Column, p: Column, gtype=None, ptype=None) -> Column:
