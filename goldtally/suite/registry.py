@@ -46,3 +46,4 @@ from . import extraction  # noqa: E402
 
 _register(extraction, ["extract_patterns", "extract_structured", "prompt_text", "schema_violations",
                        "assertions"])
+_register(bundles, ["patient_scorecard"])
