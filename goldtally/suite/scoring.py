@@ -48,7 +48,7 @@ def category_rollup(spark, sf_dir):
     mism = score.first_mismatches(out, checks)
     lines = score.report_lines(card, mism)
     rolled = score.category_rollup(card, _category)
-    return (rolled.join(lines, "field", "left")
+    return (rolled.join(lines.select("field", "line"), "field", "left")
             .select("category", "field", "matches", "total", "percentage", "line"))
 
 
