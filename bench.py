@@ -1,7 +1,7 @@
 """Benchmark: run the registered queries at $BENCH_SF_DIR on local[$BENCH_CPUS]
 and print one JSON line.
 
-Each query is run once to warm up, then timed ``$BENCH_REPEAT`` times
+Each query is run once to warm up, then timed ``$BENCH_REPEAT`` times (default 1)
 (median reported); the result is fully consumed with a no-op write
 (``format("noop")``), so the whole plan runs without collecting to the
 driver.  ``value`` is the sum of the per-query medians.
@@ -24,7 +24,7 @@ from goldtally.suite import registry  # noqa: E402
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    repeat = int(os.environ.get("BENCH_REPEAT", "3"))
+    repeat = int(os.environ.get("BENCH_REPEAT", "1"))
     only = [q for q in os.environ.get("BENCH_QUERIES", "").split(",") if q]
     # Partition sizing for CPU-heavy rows (JSON text, nested records): byte
     # targets well below the defaults, so compressed-but-costly data still
