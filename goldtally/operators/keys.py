@@ -30,9 +30,8 @@ def with_record_id(df: DataFrame, order_by: list, name: str = KEY, offset: int =
               .sortWithinPartitions(*order)
               .withColumn("_gt_pid", F.spark_partition_id())
               .withColumn("_gt_mid", F.monotonically_increasing_id()))
-    # Both passes below read the same partitioning; keep it instead of
-    # repeating the range shuffle.
-    ranged = ranged.persist()
+    # No cache: the count branch and the row branch below share the same
+    # range exchange, which Spark runs once (ReusedExchange in the plan).
     per_part = ranged.groupBy("_gt_pid").agg(F.count(F.lit(1)).alias("_gt_n"),
                                               F.min("_gt_mid").alias("_gt_first"))
     w = Window.orderBy("_gt_pid").rowsBetween(Window.unboundedPreceding, -1)
