@@ -59,13 +59,13 @@ def _run_one(fns, key, text, strategy, retry, sleep, delay_s):
     if delay_s:
         sleep(delay_s)
     if strategy == "round_robin":
-        order = [fns[int(key) % len(fns)]] if key is not None else fns[:1]
+        order = [int(key) % len(fns)] if key is not None else [0]
     else:
-        order = fns
+        order = list(range(len(fns)))
     last = None
-    for i, fn in enumerate(order):
+    for i in order:
         try:
-            return _call_with_retry(fn, text, retry, sleep), None, i
+            return _call_with_retry(fns[i], text, retry, sleep), None, i
         except Exception as e:  # noqa: BLE001
             last = e
     return None, f"{type(last).__name__}: {last}", None
