@@ -13,7 +13,7 @@ from . import sqlfrag as S
 from .common import table
 
 SQL = {}
-METHODS = ["BAML", "DSPy_default", "DSPy_BAMLAdapter"]
+METHODS = ["method_a", "method_b", "method_c"]
 
 
 def _cents_avg(cond):
