@@ -7,15 +7,35 @@ by collecting neighbours.  Links are written to the shared folder each round.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
 
 
+def _contract(batches):
+    """The links of a batch as stars: each node with the least one that the batch joins it to."""
+    for batch in batches:
+        above: dict = {}
+
+        def root(x):
+            while (y := above.setdefault(x, x)) != x:
+                above[x] = x = above[y]
+            return x
+
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            u, v = sorted((root(u), root(v)))
+            above[v] = u
+        stars = [(x, root(x)) for x in list(above)]
+        stars = [(x, y) for x, y in stars if x != y]
+        yield pa.RecordBatch.from_arrays([pa.array([s[k] for s in stars], batch.schema.field(k).type) for k in (0, 1)], names=["u", "v"])
+
+
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of ``links`` (columns a, b; any orderable type).  Root is the least node reachable."""
-    edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "links")
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v")
+    edges = stored(edges.mapInArrow(_contract, edges.schema).distinct(), "links")
     state = None
     for _ in range(most_rounds):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -5,21 +5,22 @@
    class; only classes go on, so exact copies never meet each other.
 2. ``TREES`` independent trees branch the classes: a node picks one or two
    coordinates (1.25 on average, one over the threshold) by its own hash, and
-   every class goes to the child named by its minwise value there.  A node of
-   up to ``LEAF`` classes is compared exhaustively; a larger one links its
-   members to its least member, closes if all of them agree with that one,
-   and else branches on.  A pair at the threshold survives a level with
-   probability 0.8 to 0.96 in each tree, so ``TREES`` trees leave a miss of
-   below 1e-6 at the first levels where nearly all nodes end.
-3. Candidates whose one-byte sketches agree on fewer than ``SKETCH_MIN`` of
-   ``COORDS`` coordinates are left out: a true pair at the threshold falls below
-   it with a probability of about 1e-6.  All other candidates are
-   confirmed by the exact intersection of the full sets.
-4. Confirmed links give connected components.
-
-Two members that agree with their node's least member on ``SURE`` or more
-coordinates are not compared with each other, as both link to it; this keeps
-large groups of near copies linear.
+   every class goes to the child named by its minwise value there.  Nodes of
+   over ``LEAF`` classes branch on; smaller ones are compared exhaustively, by
+   sketches of one byte for each coordinate.  At their first level the trees
+   branch on 13 coordinates in all, so a pair at the threshold meets in no
+   node with a probability of 0.2 ** 13.
+3. Of a node's pairs that agree on ``SKETCH_MIN`` or more coordinates (a pair at
+   the threshold falls below that with a probability of about 2e-4), the node
+   puts forward a maximum spanning forest: fewer pairs than members.  They are confirmed by
+   the exact intersection of the full sets, and give components.
+4. Any other such pair of the node is joined by a path of the forest whose
+   pairs agree at least as well.  Only where a pair on it was refused can the
+   pair matter; so nodes with a refused pair whose ends are still in different
+   components get their members' full sets, and intersect these
+   exactly across components, by an inverted list in the task.  Such a node puts forward one
+   link for a member and another component at most.  Large groups of near
+   copies so stay linear in rows, and no link between components is lost.
 
 Defined cases: null and empty texts, and texts without words, have an empty
 set and link with nothing; a text with fewer words than a shingle is one
@@ -41,11 +42,10 @@ from .common import stored, table
 from .components import components
 
 COORDS = 64
-TREES = 16
-LEAF = 128
-LEVELS = 24
-SKETCH_MIN = 36
-SURE = 60
+TREES = 10
+LEAF = 4096
+LEVELS = 40
+SKETCH_MIN = 40
 
 _RNG = np.random.default_rng(20_240_607)
 _MULT = _RNG.integers(1, 2**63, COORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -156,53 +156,111 @@ def _branch(trees: int | None):
     return run
 
 
-def _leaf_pairs(num: int):
-    """Candidate pairs of nodes; rows come sorted by node, then key, so that the least member is first."""
+def _weights(i: int, n: np.ndarray, sketch: np.ndarray, num: int) -> np.ndarray:
+    """Coordinates on which each member agrees with member ``i``; 0 where the sizes rule a link out."""
+    fits = 100 * np.minimum(n, n[i]) >= num * np.maximum(n, n[i])
+    return np.where(fits, (sketch == sketch[i]).sum(1), 0)
+
+
+def _forest(n: np.ndarray, sketch: np.ndarray, num: int) -> list[tuple[int, int]]:
+    """Pairs of a maximum spanning forest over the pairs that agree well enough."""
+    best, came, out = np.zeros(len(n), dtype=np.int64), np.zeros(len(n), dtype=np.int64), []
+    at = 0
+    best[0] = -1
+    for _ in range(len(n) - 1):
+        weight = _weights(at, n, sketch, num)
+        better = (weight > best) & (best >= 0)
+        best[better], came[better] = weight[better], at
+        at = int(best.argmax())
+        if best[at] >= SKETCH_MIN:
+            out.append((int(came[at]), at))
+        elif best[at] <= 0:
+            at = int(np.flatnonzero(best == 0)[0])
+        best[at] = -1
+    return out
+
+
+def _between(sets: list[np.ndarray], num: int, roots: list) -> list[tuple[int, int]]:
+    """Exact links between members of different components, one for a member and another component."""
+    names = {r: k for k, r in enumerate(dict.fromkeys(roots))}
+    root = np.array([names[r] for r in roots])
+    n = np.array(list(map(len, sets)))
+    owner = np.repeat(np.arange(len(sets)), n)
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(ids, kind="stable")
+    posting, first = owner[order], np.r_[0, np.cumsum(np.bincount(ids))]
+    at = np.r_[0, np.cumsum(n)]
+    largest, out = np.bincount(root).argmax(), []
+    # a link between components has an end outside the largest one
+    for i in np.flatnonzero(root != largest).tolist():
+        own = ids[at[i]:at[i + 1]]
+        shared = np.bincount(np.concatenate([posting[first[k]:first[k + 1]] for k in own.tolist()]), minlength=len(sets))
+        linked = np.flatnonzero((100 * shared >= num * (n + n[i] - shared)) & (root != root[i]))
+        out += [(i, int(linked[k])) for k in np.unique(root[linked], return_index=True)[1]]
+    return out
+
 
-    def of_node(keys, n, sketch):
-        lead = (sketch == sketch[0]).sum(1)
-        sure = lead >= SURE
-        sure[0] = True
-        for i in range(len(keys) - 1):
-            rest = slice(i + 1, None)
-            agree = lead[rest] if i == 0 else (sketch[rest] == sketch[i]).sum(1)
-            small, large = np.minimum(n[rest], n[i]), np.maximum(n[rest], n[i])
-            good = (agree >= SKETCH_MIN) & (100 * small >= num * large)
-            if i and sure[i]:
-                good &= ~sure[rest]
-            for j in np.flatnonzero(good):
-                yield keys[i], keys[i + 1 + j]
+def _node_pairs(num: int, with_sets: bool):
+    """Pairs of nodes; rows come sorted by node.
+
+    Without sets, candidates of a node's spanning forest; with them, exact links between components.
+    """
+
+    def likely(edges, n, sketch):
+        """Nodes that can have a pair: of small ones, all pairs are looked at together."""
+        size = np.diff(edges)
+        hit = size > 8
+        node = np.repeat(np.arange(len(size)), size)
+        for d in range(1, 8):
+            i = np.flatnonzero((node[d:] == node[:-d]) & (size[node[:-d]] <= 8))
+            good = (sketch[i] == sketch[i + d]).sum(1) >= SKETCH_MIN
+            good &= 100 * np.minimum(n[i], n[i + d]) >= num * np.maximum(n[i], n[i + d])
+            hit[node[i[good]]] = True
+        return np.flatnonzero(hit)
 
     def run(batches):
         held = None
-        for batch in (*batches, None):
-            if batch is not None and not batch.num_rows:
-                continue
+        for batch in _then_none(batches):
             if batch is not None:
+                if not batch.num_rows:
+                    continue
                 part = pa.Table.from_batches([batch])
                 held = part if held is None else pa.concat_tables([held, part])
-            if held is None:
-                break
+            if held is None or not held.num_rows:
+                continue
             node = held.column("node").to_numpy()
             edges = np.flatnonzero(np.r_[True, node[1:] != node[:-1], True])
             if batch is not None:
                 edges = edges[:-1]  # the last node may go on in the next batch
-            if len(edges) > 1:
-                stop = int(edges[-1])
-                keys = held.column("key").slice(0, stop).to_pylist()
-                n = held.column("n").slice(0, stop).to_numpy()
-                sketch = np.frombuffer(b"".join(held.column("sketch").slice(0, stop).to_pylist()), dtype=np.uint8).reshape(-1, COORDS)
-                pairs = [p for lo, hi in zip(edges[:-1], edges[1:]) for p in of_node(keys[lo:hi], n[lo:hi], sketch[lo:hi])]
-                if pairs:
-                    a, b = zip(*pairs)
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
-                held = held.slice(stop)
-            if batch is None:
-                break
+            if len(edges) < 2:
+                continue
+            stop = int(edges[-1])
+            done = held.slice(0, stop)
+            keys, n = done.column("key").to_pylist(), done.column("n").to_numpy()
+            if with_sets:
+                roots = done.column("root").to_pylist()
+                sets = [np.frombuffer(x, np.uint64) for x in done.column("set").to_pylist()]
+            else:
+                sketch = np.frombuffer(b"".join(done.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, COORDS)
+            out = [[], [], []]
+            for k in range(len(edges) - 1) if with_sets else likely(edges, n, sketch).tolist():
+                lo, hi = int(edges[k]), int(edges[k + 1])
+                pairs = _between(sets[lo:hi], num, roots[lo:hi]) if with_sets else _forest(n[lo:hi], sketch[lo:hi], num)
+                for i, j in pairs:
+                    a, b = sorted((keys[lo + i], keys[lo + j]))
+                    for column, value in zip(out, (int(node[lo]), a, b)):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], names=["node", "a", "b"])
+            held = held.slice(stop)
 
     return run
 
 
+def _then_none(batches):
+    yield from batches
+    yield None
+
+
 def _sketches(batches):
     """One byte of every coordinate."""
     for batch in batches:
@@ -210,39 +268,52 @@ def _sketches(batches):
         yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("n"), pa.array([r.tobytes() for r in sig.astype(np.uint8)], pa.binary())], names=["key", "n", "sketch"])
 
 
-def _agreement(batches):
-    for batch in batches:
-        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, COORDS) for c in ("sketch", "lead_sketch"))
-        yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("key"), batch.column("leader"), pa.array((a == b).sum(1).astype(np.int32))],
-                                         names=["node", "key", "leader", "agree"])
-
-
-def candidates(classes: DataFrame, num: int) -> DataFrame:
-    """Distinct candidate pairs (a < b) of class keys."""
+def leaves(classes: DataFrame) -> DataFrame:
+    """(node, key, n, sketch) of every node that is compared: at most LEAF members, or never getting smaller."""
     sketches = stored(classes.select("key", "n", "sig").mapInArrow(_sketches, "key binary, n long, sketch binary"), "sketches")
     rows = classes.select("key", "sig").mapInArrow(_branch(TREES), "node long, key binary")
-    found = []
+    parts = []
     for level in range(LEVELS):
         rows = stored(rows, "paths")
-        sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("key").alias("leader")).filter("size > 1")
+        sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
         members = stored(rows.join(sizes, "node"), "members")
         last = level == LEVELS - 1
-        small = (members if last else members.filter(f"size <= {LEAF}")).select("node", "key").join(sketches, "key")
-        found.append(stored(small.repartition("node").sortWithinPartitions("node", "key").mapInArrow(_leaf_pairs(num), "a binary, b binary").distinct(), "pairs"))
+        parts.append((members if last else members.filter(f"size <= {LEAF}")).select("node", "key"))
         large = members.filter(f"size > {LEAF}")
         if last or large.isEmpty():
             break
-        lead = sketches.select(F.col("key").alias("leader"), F.col("sketch").alias("lead_sketch"))
-        star = stored(large.join(sketches, "key").join(lead, "leader").select("node", "key", "leader", "sketch", "lead_sketch")
-                      .mapInArrow(_agreement, "node long, key binary, leader binary, agree int"), "stars")
-        found.append(star.filter(f"key != leader and agree >= {SKETCH_MIN}").select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct())
-        mixed = star.groupBy("node").agg(F.min("agree").alias("least")).filter(f"least < {SURE}").select("node")
-        rows = (star.select("node", "key").join(mixed, "node").join(classes.select("key", "sig"), "key").select("node", "key", "sig")
-                .mapInArrow(_branch(None), "node long, key binary"))
-    out = found[0]
-    for part in found[1:]:
+        rows = large.select("node", "key").join(classes.select("key", "sig"), "key").select("node", "key", "sig").mapInArrow(_branch(None), "node long, key binary")
+    out = parts[0]
+    for part in parts[1:]:
         out = out.union(part)
-    return out.distinct()
+    return stored(out.join(sketches, "key").select("node", "key", "n", "sketch"), "leaves")
+
+
+def _by_node(rows: DataFrame, num: int, with_sets: bool) -> DataFrame:
+    return rows.repartition("node").sortWithinPartitions("node").mapInArrow(_node_pairs(num, with_sets), "node long, a binary, b binary")
+
+
+def class_roots(docs: DataFrame, classes: DataFrame, width: int, num: int) -> DataFrame:
+    """(node, root): components of class keys over all links that the trees' nodes can join."""
+    nodes = leaves(classes)
+    forest = stored(_by_node(nodes, num, False), "forest")
+    first = stored(confirmed(docs, classes, forest.select("a", "b").distinct(), width, num), "confirmed")
+    roots = stored(components(first), "roots")
+    end = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
+    ends = lambda pairs: pairs.join(end("a"), "a", "left").join(end("b"), "b", "left").select("*", F.coalesce("root_a", "a").alias("u"), F.coalesce("root_b", "b").alias("v"))
+    apart = stored(ends(forest.join(first, ["a", "b"], "left_anti")).filter("u != v").select("node", "a", "b"), "apart")
+    if apart.isEmpty():
+        return roots
+    again = nodes.select("node", "key", "n").join(apart.select("node").distinct(), "node", "left_semi")
+    again = stored(again.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").select("node", "key", "n", F.coalesce("root", "key").alias("root")), "again")
+    again = again.join(full_sets(docs, classes, again.select("key"), width), "key")
+    second = stored(ends(_by_node(again, num, True).select("a", "b").distinct()).select(F.col("u").alias("a"), F.col("v").alias("b")), "second")
+    if second.isEmpty():
+        return roots
+    # components of components; a component's new name goes to all of its members
+    joined = stored(components(second).select(F.col("node").alias("root"), F.col("root").alias("above")), "joined")
+    alone = joined.select(F.col("root").alias("node"), F.col("above").alias("root")).join(roots.select("node"), "node", "left_anti")
+    return roots.join(joined, "root", "left").select("node", F.coalesce("above", "root").alias("root")).union(alone)
 
 
 def _sets(width: int):
@@ -271,13 +342,18 @@ def _confirm(num: int):
     return run
 
 
+def full_sets(docs: DataFrame, classes: DataFrame, keys: DataFrame, width: int) -> DataFrame:
+    """(key, set) of the classes in ``keys``, from the texts of their least ids."""
+    needed = stored(keys.distinct().join(classes.select("key", "rep"), "key"), "needed")
+    texts = docs.select(F.col("doc_id").alias("_id"), "text").join(needed.select("rep").distinct(), F.col("_id").eqNullSafe(F.col("rep")), "left_semi")
+    sets = texts.select("text").mapInArrow(_sets(width), "key binary, set binary").join(needed.select("key"), "key", "left_semi")
+    return stored(sets.dropDuplicates(["key"]), "sets")
+
+
 def confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, num: int) -> DataFrame:
     """The candidate pairs whose full sets reach the threshold."""
-    needed = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
-    needed = stored(needed.join(classes.select("key", "rep"), "key"), "needed")
-    texts = docs.select(F.col("doc_id").alias("_id"), "text").join(needed.select("rep").distinct(), F.col("_id").eqNullSafe(F.col("rep")), "left_semi")
-    sets = texts.select("text").mapInArrow(_sets(width), "key binary, set binary").join(needed.select("key"), "key", "left_semi").dropDuplicates(["key"])
-    sets = stored(sets, "sets")
+    pairs = stored(pairs, "pairs")
+    sets = full_sets(docs, classes, pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))), width)
     side = lambda s: sets.select(F.col("key").alias(s), F.col("set").alias(f"set_{s}"))
     return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "set_a", "set_b").mapInArrow(_confirm(num), "a binary, b binary")
 
@@ -287,9 +363,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     docs = docs.select("doc_id", "text")
     described = stored(docs.mapInArrow(_describe(width), "doc_id long, n long, key binary, sig binary"), "shingled")
     classes = stored(described.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
-    pairs = stored(candidates(classes, percent), "candidates")
-    links = stored(confirmed(docs, classes, pairs, width, percent), "confirmed")
-    roots = stored(components(links), "roots")
+    roots = stored(class_roots(docs, classes, width, percent), "roots")
     named = classes.select("key", "rep").join(roots.withColumnRenamed("node", "key"), "key")
     names = named.groupBy("root").agg(F.min("rep").alias("linked_id"))
     linked = named.select("key", "root").join(names, "root").select("key", "linked_id")
