@@ -35,7 +35,22 @@ BLOCK_CHARS = 32_000_000
 _LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PRE = re.compile(f"[{_LATIN}]+(?=[.,;:!?]?(?:[\\t-\\r ]|\\Z))|[.,;:!?](?=[\\t-\\r ]|\\Z)|[^\\t-\\r ]+")
 
-_TABLE = "block long, doc_id long, n_bytes long, lids binary, freqs binary, lid int, word string"
+_TABLE = "block long, doc_id long, n_bytes long, freqs binary, lid int, word string"
+
+
+def packed(lids: np.ndarray, freqs: np.ndarray) -> bytes:
+    """Sorted numbers as steps, and frequencies, byte plane by byte plane, compressed."""
+    import zstandard
+
+    steps = np.diff(lids, prepend=0).astype("<u4")
+    return zstandard.compress(np.stack([steps, freqs.astype("<u4")]).view(np.uint8).reshape(2, -1, 4).transpose(0, 2, 1).tobytes(), 3)
+
+
+def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    import zstandard
+
+    steps, freqs = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(2, 4, -1).transpose(0, 2, 1).copy().view("<u4")[:, :, 0]
+    return np.cumsum(steps, dtype=np.int64), freqs.astype(np.int64)
 
 
 class Numbers(dict):
@@ -48,12 +63,12 @@ class Numbers(dict):
 
 def _batch(block, docs, words):
     n, m = len(docs), len(words)
-    cols = list(zip(*docs)) if docs else [[], [], [], []]
+    cols = list(zip(*docs))
     return pa.RecordBatch.from_arrays(
         [pa.array([block] * (n + m), pa.int64()), pa.array([*cols[0], *[None] * m], pa.int64()), pa.array([*cols[1], *[None] * m], pa.int64()),
-         pa.array([*cols[2], *[None] * m], pa.binary()), pa.array([*cols[3], *[None] * m], pa.binary()),
+         pa.array([*cols[2], *[None] * m], pa.binary()),
          pa.array([*[None] * n, *range(m)], pa.int32()), pa.array([*[None] * n, *words], pa.string())],
-        names=["block", "doc_id", "n_bytes", "lids", "freqs", "lid", "word"])
+        names=["block", "doc_id", "n_bytes", "freqs", "lid", "word"])
 
 
 def _blocks(batches):
@@ -64,7 +79,7 @@ def _blocks(batches):
             text = text or ""
             lids = np.fromiter(map(numbers.__getitem__, _PRE.findall(text)), dtype="<i4")
             lids, freqs = np.unique(lids, return_counts=True)
-            docs.append((doc, len(text.encode()), lids.tobytes(), freqs.astype("<i4").tobytes()))
+            docs.append((doc, len(text.encode()), packed(lids, freqs)))
             chars += len(text)
             if chars >= BLOCK_CHARS:
                 yield _batch((task << 24) + seq, docs, list(numbers))
@@ -103,8 +118,10 @@ def _count_runs(path: str):
 def _sum_block(docs: pa.Table, counts: pa.Table) -> pa.Table:
     per_lid = np.zeros(counts.num_rows, dtype="i8")
     per_lid[counts.column("lid").to_numpy()] = counts.column("n").to_numpy()
-    totals = [int(per_lid[np.frombuffer(a, "<i4")] @ np.frombuffer(f, "<i4").astype("i8"))
-              for a, f in zip(docs.column("lids").to_pylist(), docs.column("freqs").to_pylist())]
+    totals = []
+    for data in docs.column("freqs").to_pylist():
+        lids, freqs = unpacked(data)
+        totals.append(int(per_lid[lids] @ freqs))
     return pa.table([docs.column("doc_id"), docs.column("n_bytes"), pa.array(totals, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
 
@@ -113,7 +130,7 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
     blocks = stored(docs.selectExpr("doc_id", "text").mapInArrow(_blocks, _TABLE), "pretokens")
     words = blocks.filter("word is not null").select("block", "lid", "word")
     counted = words.repartition("word").sortWithinPartitions("word").mapInArrow(_count_runs(path), "block long, lid int, n int")
-    freqs = blocks.filter("word is null").select("block", "doc_id", "n_bytes", "lids", "freqs")
+    freqs = blocks.filter("word is null").select("block", "doc_id", "n_bytes", "freqs")
     return (freqs.groupBy("block").cogroup(counted.groupBy("block"))
             .applyInArrow(_sum_block, "doc_id long, n_bytes long, n_tokens long"))
 
