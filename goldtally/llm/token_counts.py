@@ -30,7 +30,7 @@ from .common import stored, table
 
 OVER = 2048
 #: Characters of text in a block; a longer document is a block of its own.
-BLOCK_CHARS = 32_000_000
+BLOCK_CHARS = 16_000_000
 
 _LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PRE = re.compile(f"[{_LATIN}]+(?=[.,;:!?]?(?:[\\t-\\r ]|\\Z))|[.,;:!?](?=[\\t-\\r ]|\\Z)|[^\\t-\\r ]+")
@@ -61,6 +61,16 @@ class Numbers(dict):
         return n
 
 
+def pretokens(text: str) -> list[str]:
+    """The text's pre-tokens; in Latin texts letters count alike in either case, as the tokenizer lowers them.
+
+    Where "<|" stands the case is left alone: a special string is one only as it is spelt.
+    """
+    if "<|" not in text and (text.isascii() or max(text) <= "\xff"):
+        text = text.lower()
+    return _PRE.findall(text)
+
+
 def _batch(block, docs, words):
     n, m = len(docs), len(words)
     cols = list(zip(*docs))
@@ -75,9 +85,9 @@ def _blocks(batches):
     task, seq = TaskContext.get().partitionId(), 0
     numbers, docs, chars = Numbers(), [], 0
     for batch in batches:
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for doc, text in (row for k in range(0, batch.num_rows, 256) for row in zip(*(c.to_pylist() for c in batch.slice(k, 256).columns))):
             text = text or ""
-            lids = np.fromiter(map(numbers.__getitem__, _PRE.findall(text)), dtype="<i4")
+            lids = np.fromiter(map(numbers.__getitem__, pretokens(text)), dtype="<i4")
             lids, freqs = np.unique(lids, return_counts=True)
             docs.append((doc, len(text.encode()), packed(lids, freqs)))
             chars += len(text)
