@@ -235,7 +235,7 @@ def _score_task(model: Hmm):
 
 def lm_scores(docs: DataFrame, held_out=None) -> DataFrame:
     """Base and model scores of every row; ``held_out`` says which rows are not learnt from."""
-    held_out = held_out if held_out is not None else F.lit(False)
+    held_out = F.coalesce(held_out, F.lit(False)) if held_out is not None else F.lit(False)  # null: learnt from
     blocks = stored(docs.select("doc_id", "text", held_out.alias("held_out")).mapInArrow(
         _blocks, "block long, doc_id long, held_out boolean, ids binary, lid int, word binary, n_train long"), "blocks")
     same = Window.partitionBy("word")
