@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
+
 KEY = "record_id"
 
 
@@ -12,45 +14,45 @@ def _cols(cols) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
 
 
+def _positions(laid_out: DataFrame, name: str, offset: int) -> DataFrame:
+    """Number rows by partition, then by place in it.
+
+    The layout is written once to the session's scratch folder, with each row's
+    partition and place, and both branches read that one layout: the counts per
+    partition (a broadcast of one row per partition, not of data) and the rows.
+    Planning the two branches over the same exchange would not do: each prunes
+    other columns, so Spark samples and bounds its ranges twice.
+    """
+    tagged = laid_out.withColumn("_gt_pid", F.spark_partition_id()).withColumn("_gt_mid", F.monotonically_increasing_id())
+    path = scratch_path(laid_out.sparkSession, "positions")
+    tagged.write.parquet(path)
+    stored = laid_out.sparkSession.read.schema(tagged.schema).parquet(path)
+    per_part = stored.groupBy("_gt_pid").agg(F.count(F.lit(1)).alias("_gt_n"), F.min("_gt_mid").alias("_gt_first"))
+    w = Window.orderBy("_gt_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_part.select("_gt_pid", "_gt_first", F.coalesce(F.sum("_gt_n").over(w), F.lit(0)).alias("_gt_before"))
+    return (stored.join(F.broadcast(offsets), "_gt_pid")
+            .withColumn(name, (F.col("_gt_before") + F.col("_gt_mid") - F.col("_gt_first") + F.lit(offset)).cast("long"))
+            .drop("_gt_pid", "_gt_mid", "_gt_first", "_gt_before"))
+
+
 def with_record_id(df: DataFrame, order_by: list, name: str = KEY, offset: int = 1,
                    num_partitions: int | None = None) -> DataFrame:
     """K1: a dense 1-based position of every row under a total order.
 
     No single-partition window: rows are range-partitioned on the order key
-    and sorted inside each partition; each row's position is the number of
-    rows of the lower partitions (a running sum over one count per partition,
-    so the broadcast side is bounded by the partition count, not the data)
-    plus its rank inside its own partition.  The order must be total (add a
-    unique column to break ties), which also makes the result repeatable when
-    a lost partition is recomputed.
+    and sorted inside each partition, and that layout is written once and
+    numbered (this runs a job).  The order must be total: add a unique column
+    to break ties.
     """
     order = _cols(order_by)
     n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (df.repartitionByRange(n, *order)
-              .sortWithinPartitions(*order)
-              .withColumn("_gt_pid", F.spark_partition_id())
-              .withColumn("_gt_mid", F.monotonically_increasing_id()))
-    # No cache: the count branch and the row branch below share the same
-    # range exchange, which Spark runs once (ReusedExchange in the plan).
-    per_part = ranged.groupBy("_gt_pid").agg(F.count(F.lit(1)).alias("_gt_n"),
-                                              F.min("_gt_mid").alias("_gt_first"))
-    w = Window.orderBy("_gt_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_part.select(
-        "_gt_pid", "_gt_first",
-        F.coalesce(F.sum("_gt_n").over(w), F.lit(0)).alias("_gt_before"))
-    out = (ranged.join(F.broadcast(offsets), "_gt_pid")
-           .withColumn(name, (F.col("_gt_before") + F.col("_gt_mid") - F.col("_gt_first")
-                              + F.lit(offset)).cast("long"))
-           .drop("_gt_pid", "_gt_mid", "_gt_first", "_gt_before"))
-    return out
+    return _positions(df.repartitionByRange(n, *order).sortWithinPartitions(*order), name, offset)
 
 
 def with_row_index(df: DataFrame, name: str = KEY, offset: int = 1) -> DataFrame:
     """K1 without an order key: position in the input's own partition order
-    (file order for a freshly read file)."""
-    return df.sparkSession.createDataFrame(
-        df.rdd.zipWithIndex().map(lambda r: (*r[0], r[1] + offset)),
-        df.schema.add(name, "long"))
+    (file order for a freshly read file), numbered by Spark alone."""
+    return _positions(df, name, offset)
 
 
 def slice_records(df: DataFrame, start: int, end: int | None = None,
@@ -82,10 +84,11 @@ def last_wins(df: DataFrame, key: str = KEY, seq: str = "seq") -> DataFrame:
     """K5: one row per key, the one with the greatest ``seq``.
 
     ``max_by`` aggregates partially before the shuffle, so a key repeated
-    millions of times sends one row per map task, not all of its copies."""
+    millions of times sends one row per map task, not all of its copies.  A
+    null ``seq`` comes before any other; it never makes a row of nulls."""
     others = [c for c in df.columns if c != key]
     picked = df.groupBy(key).agg(
-        F.max_by(F.struct(*[F.col(c) for c in others]), F.col(seq)).alias("_gt_row"))
+        F.max_by(F.struct(*[F.col(c) for c in others]), F.struct(F.col(seq).isNotNull(), F.col(seq))).alias("_gt_row"))
     return picked.select(key, *[F.col("_gt_row")[c].alias(c) for c in others])
 
 

@@ -68,7 +68,7 @@ INSURANCE_ALLOWED = {
 INSURANCE_ID_PATTERNS = {
     "header.claim_id": r"^CLM-[0-9]{6}$",
     "policy_details.policy_number": r"^POL-[0-9]{9}$",
-    "insured_objects.object_id": r"^(PROP|LIAB|OBJ)-[0-9]{6}$",
+    "insured_objects.object_id": r"^(VIN[0-9]{17}|(PROP|LIAB|OBJ)-[0-9]{6})$",
 }
 # Marital status codes of the patient schema.
 MARITAL_STATUS = ["Married", "Divorced", "Widowed", "NeverMarried"]

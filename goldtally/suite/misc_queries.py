@@ -96,6 +96,14 @@ SELECT record_id, c_custkey, c_name FROM (
 WHERE record_id BETWEEN 11 AND 60"""
 
 
+def row_index(spark, sf_dir):
+    """K1 over all columns of orders: every row with its position."""
+    return keys.with_record_id(table(spark, sf_dir, "orders"), ["o_orderdate", "o_orderkey"])
+
+
+SQL["row_index"] = "SELECT *, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS record_id FROM orders"
+
+
 # --- P1-P12 -------------------------------------------------------------------------
 
 def reshape(spark, sf_dir):

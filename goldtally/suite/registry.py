@@ -34,7 +34,7 @@ _register(claim_queries, ["section_rules", "invented_list", "align_pairs", "reco
 
 from . import misc_queries  # noqa: E402
 
-_register(misc_queries, ["scores_minmax", "best_row", "methods_pivot", "record_id_slice", "reshape",
+_register(misc_queries, ["scores_minmax", "best_row", "methods_pivot", "record_id_slice", "row_index", "reshape",
                          "py_literal", "ndjson_roundtrip", "display_name"])
 
 from . import bundles  # noqa: E402

@@ -46,9 +46,21 @@ def test_coverage_is_one_full_outer_join(spark):
     assert "FullOuter" in plan and "LeftAnti" not in plan
 
 
-def test_row_index_uses_range_partitioning(spark):
-    cust = table(spark, SF, "customer")
-    df = keys.with_record_id(cust, ["c_name", "c_custkey"])
-    df.collect()
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "rangepartitioning" in plan.lower()
+def test_row_index_is_dense_and_right_with_payload(spark):
+    orders = spark.read.parquet("/root/testdata/sf0.1/orders.parquet")
+    got = keys.with_record_id(orders, ["o_orderdate", "o_orderkey"], num_partitions=16).toPandas()
+    want = orders.toPandas().sort_values(["o_orderdate", "o_orderkey"])
+    assert got.sort_values("record_id")["o_orderkey"].tolist() == want["o_orderkey"].tolist()
+    assert sorted(got["record_id"]) == list(range(1, len(want) + 1))
+
+
+def test_row_index_without_an_order_keeps_file_order(spark):
+    orders = spark.read.parquet("/root/testdata/sf0.01/orders.parquet")
+    got = keys.with_row_index(orders).toPandas().sort_values("record_id")
+    assert got["o_orderkey"].tolist() == orders.toPandas()["o_orderkey"].tolist()
+
+
+def test_last_wins_with_null_seq(spark):
+    df = spark.createDataFrame([(1, "a", None), (1, "a", None), (2, "b", None), (2, "c", 5)], "record_id long, v string, seq long")
+    got = {r.record_id: r.v for r in keys.last_wins(df).collect()}
+    assert got == {1: "a", 2: "c"}
