@@ -16,9 +16,9 @@
    the exact intersection of the full sets, and give components.
 4. Any other such pair of the node is joined by a path of the forest whose
    pairs agree at least as well.  Only where a pair on it was refused can the
-   pair matter; so nodes with a refused pair whose ends are still in different
-   components get their members' full sets, and intersect these
-   exactly across components, by an inverted list in the task.  Such a node puts forward one
+   pair matter; so trees of the forest with a refused pair whose ends are still in
+   different components get their members' full sets, and intersect these
+   exactly across components, by an inverted list in the task.  Such a tree puts forward one
    link for a member and another component at most.  Large groups of near
    copies so stay linear in rows, and no link between components is lost.
 
@@ -162,9 +162,10 @@ def _weights(i: int, n: np.ndarray, sketch: np.ndarray, num: int) -> np.ndarray:
     return np.where(fits, (sketch == sketch[i]).sum(1), 0)
 
 
-def _forest(n: np.ndarray, sketch: np.ndarray, num: int) -> list[tuple[int, int]]:
-    """Pairs of a maximum spanning forest over the pairs that agree well enough."""
+def _forest(n: np.ndarray, sketch: np.ndarray, num: int) -> list[tuple[int, int, int]]:
+    """Pairs of a maximum spanning forest over the pairs that agree well enough, and the tree of each."""
     best, came, out = np.zeros(len(n), dtype=np.int64), np.zeros(len(n), dtype=np.int64), []
+    tree = list(range(len(n)))
     at = 0
     best[0] = -1
     for _ in range(len(n) - 1):
@@ -173,7 +174,8 @@ def _forest(n: np.ndarray, sketch: np.ndarray, num: int) -> list[tuple[int, int]
         best[better], came[better] = weight[better], at
         at = int(best.argmax())
         if best[at] >= SKETCH_MIN:
-            out.append((int(came[at]), at))
+            tree[at] = tree[came[at]]
+            out.append((int(came[at]), at, tree[at]))
         elif best[at] <= 0:
             at = int(np.flatnonzero(best == 0)[0])
         best[at] = -1
@@ -203,7 +205,7 @@ def _between(sets: list[np.ndarray], num: int, roots: list) -> list[tuple[int, i
 def _node_pairs(num: int, with_sets: bool):
     """Pairs of nodes; rows come sorted by node.
 
-    Without sets, candidates of a node's spanning forest; with them, exact links between components.
+    Without sets, candidates of a node's spanning forest, named by their tree; with them, exact links between components.
     """
 
     def likely(edges, n, sketch):
@@ -236,19 +238,21 @@ def _node_pairs(num: int, with_sets: bool):
                 continue
             stop = int(edges[-1])
             done = held.slice(0, stop)
-            keys, n = done.column("key").to_pylist(), done.column("n").to_numpy()
+            keys = done.column("key").to_pylist()
             if with_sets:
                 roots = done.column("root").to_pylist()
                 sets = [np.frombuffer(x, np.uint64) for x in done.column("set").to_pylist()]
             else:
+                n = done.column("n").to_numpy()
                 sketch = np.frombuffer(b"".join(done.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, COORDS)
             out = [[], [], []]
             for k in range(len(edges) - 1) if with_sets else likely(edges, n, sketch).tolist():
                 lo, hi = int(edges[k]), int(edges[k + 1])
                 pairs = _between(sets[lo:hi], num, roots[lo:hi]) if with_sets else _forest(n[lo:hi], sketch[lo:hi], num)
-                for i, j in pairs:
+                for i, j, *tree in pairs:
                     a, b = sorted((keys[lo + i], keys[lo + j]))
-                    for column, value in zip(out, (int(node[lo]), a, b)):
+                    name = int(mix(node[lo:lo + 1].view(np.uint64) + _MIX * np.uint64(tree[0] + 1)).view(np.int64)[0]) if tree else int(node[lo])
+                    for column, value in zip(out, (name, a, b)):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], names=["node", "a", "b"])
             held = held.slice(stop)
@@ -304,8 +308,10 @@ def class_roots(docs: DataFrame, classes: DataFrame, width: int, num: int) -> Da
     apart = stored(ends(forest.join(first, ["a", "b"], "left_anti")).filter("u != v").select("node", "a", "b"), "apart")
     if apart.isEmpty():
         return roots
-    again = nodes.select("node", "key", "n").join(apart.select("node").distinct(), "node", "left_semi")
-    again = stored(again.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").select("node", "key", "n", F.coalesce("root", "key").alias("root")), "again")
+    # a pair that agrees well enough lies within one tree, so the members of trees with a refused pair are all that matter
+    broken = forest.join(apart.select("node").distinct(), "node", "left_semi")
+    again = broken.select("node", F.col("a").alias("key")).union(broken.select("node", F.col("b").alias("key"))).distinct()
+    again = stored(again.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").select("node", "key", F.coalesce("root", "key").alias("root")), "again")
     again = again.join(full_sets(docs, classes, again.select("key"), width), "key")
     second = stored(ends(_by_node(again, num, True).select("a", "b").distinct()).select(F.col("u").alias("a"), F.col("v").alias("b")), "second")
     if second.isEmpty():
