@@ -12,6 +12,8 @@ from __future__ import annotations
 import heapq
 import json
 import re
+import struct
+from itertools import chain
 
 import numpy as np
 
@@ -48,8 +50,10 @@ class LibraryCodec:
     def learn(self, missing: list[str]) -> None:
         for lo in range(0, len(missing), 20_000):
             part = missing[lo:lo + 20_000]
-            for chunk, enc in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                self.memo[chunk] = np.asarray(enc.ids, dtype="<u4").tobytes()
+            # the fast form leaves offsets out; ids are the same
+            for chunk, enc in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                ids = enc.ids
+                self.memo[chunk] = struct.pack(f"<{len(ids)}I", *ids)
 
 
 class SpeculativeCodec:
@@ -218,7 +222,7 @@ def encode_texts(coder, texts, batch_chars: int = 4_000_000):
         if len(coder.memo) > MEMO:
             coder.memo.clear()
         known = coder.memo
-        coder.learn([c for c in dict.fromkeys(c for cut in held for c in cut) if c not in known])
+        coder.learn([c for c in dict.fromkeys(chain.from_iterable(held)) if c not in known])
         for cut in held:
             yield b"".join(map(known.__getitem__, cut))
 
