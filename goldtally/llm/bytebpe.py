@@ -12,8 +12,6 @@ from __future__ import annotations
 import heapq
 import json
 import re
-import struct
-from itertools import chain
 
 import numpy as np
 
@@ -48,12 +46,20 @@ class LibraryCodec:
         self.memo: dict[str, bytes] = {}
 
     def learn(self, missing: list[str]) -> None:
-        for lo in range(0, len(missing), 20_000):
-            part = missing[lo:lo + 20_000]
-            # the fast form leaves offsets out; ids are the same
-            for chunk, enc in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                ids = enc.ids
-                self.memo[chunk] = struct.pack(f"<{len(ids)}I", *ids)
+        """Many chunks go to the library as one text, a special string between
+        each two: it cuts there before anything else, so chunks are encoded
+        alone, and its id shows where each one ends."""
+        mark = self.specials[0]
+        mark_id = self.tokenizer.token_to_id(mark)
+        plain = [c for c in missing if c not in self.specials]
+        for lo in range(0, len(plain), 1_000):
+            part = plain[lo:lo + 1_000]
+            ids = np.array(self.tokenizer.encode_batch_fast([mark.join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            raw, ends = ids.tobytes(), 4 * np.flatnonzero(ids == mark_id)
+            starts = [0, *(ends + 4).tolist()]
+            self.memo.update(zip(part, map(raw.__getitem__, map(slice, starts, [*ends.tolist(), len(raw)])), strict=True))
+        for special in set(missing).intersection(self.specials):
+            self.memo[special] = np.array([self.tokenizer.token_to_id(special)], dtype="<u4").tobytes()
 
 
 class SpeculativeCodec:
@@ -222,7 +228,10 @@ def encode_texts(coder, texts, batch_chars: int = 4_000_000):
         if len(coder.memo) > MEMO:
             coder.memo.clear()
         known = coder.memo
-        coder.learn([c for c in dict.fromkeys(chain.from_iterable(held)) if c not in known])
+        missing: set[str] = set()
+        for cut in held:
+            missing.update(set(cut).difference(known))
+        coder.learn(list(missing))
         for cut in held:
             yield b"".join(map(known.__getitem__, cut))
 
