@@ -14,8 +14,8 @@ resolves any duplicate.  Keep speculation off for jobs with side effects.
 
 from __future__ import annotations
 
-import json
 import time
+import zlib
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -45,21 +45,32 @@ EXPONENTIAL = Retry(max_retries=2, delay_ms=300, multiplier=1.5, max_delay_ms=10
 
 
 def _call_with_retry(fn, text, retry: Retry, sleep):
+    """A function with a parameter ``attempt`` is told the number of this attempt, from 0."""
     delays = list(retry.delays())
+    numbered = "attempt" in getattr(getattr(fn, "__code__", None), "co_varnames", ())
     for attempt in range(len(delays) + 1):
         try:
-            return fn(text)
+            return fn(text, attempt=attempt) if numbered else fn(text)
         except Exception:  # noqa: BLE001
             if attempt == len(delays):
                 raise
             sleep(delays[attempt] / 1000.0)
 
 
+def _slot(key, count: int) -> int:
+    """Round-robin place of a key: whole numbers by their remainder, others by a hash of their text, null first."""
+    if key is None or key != key:
+        return 0
+    if isinstance(key, (int, float)):
+        return int(key) % count
+    return zlib.crc32(str(key).encode()) % count
+
+
 def _run_one(fns, key, text, strategy, retry, sleep, delay_s):
     if delay_s:
         sleep(delay_s)
     if strategy == "round_robin":
-        order = [int(key) % len(fns)] if key is not None else [0]
+        order = [_slot(key, len(fns))]
     else:
         order = list(range(len(fns)))
     last = None
@@ -78,7 +89,7 @@ def extract_structured(df: DataFrame, text_col: str, key: str, schema: T.StructT
     """``key, result STRUCT<schema>, error STRING, fn_index INT``.
 
     ``fns``: one function or a list ``text -> dict`` (fallback order, or
-    round-robin by key modulo the count, so a rerun picks the same one)."""
+    round-robin by key, so a rerun picks the same one)."""
     fns = list(fns) if isinstance(fns, (list, tuple)) else [fns]
     key_type = df.schema[key].dataType
     out_schema = T.StructType([T.StructField(key, key_type), T.StructField("result", schema),
@@ -122,6 +133,7 @@ PII_PATTERNS = {
     "MAC": r"[0-9A-Fa-f]{2}(:[0-9A-Fa-f]{2}){5}",
     "URL": r"https?://[^\s]+",
     "BITCOINADDRESS": r"[13][a-km-zA-HJ-NP-Z1-9]{25,34}",
+    "LITECOINADDRESS": r"[LM][a-km-zA-HJ-NP-Z1-9]{26,33}",
     "ETHEREUMADDRESS": r"0x[a-fA-F0-9]{40}",
 }
 
@@ -136,7 +148,3 @@ def pattern_fields(text: Column, classes: dict[str, str] | None = None) -> list[
     """X12 as an extraction result: the first hit per class is the field."""
     classes = classes or PII_PATTERNS
     return [F.get(F.regexp_extract_all(text, F.lit(p), 0), 0).alias(name) for name, p in classes.items()]
-
-
-def as_json(obj) -> str:
-    return json.dumps(obj, sort_keys=True)

@@ -61,3 +61,21 @@ def test_retry_delays():
 
     res, err, idx = extract._run_one([flaky], 1, "t", "fallback", extract.CONSTANT, slept.append, 0)
     assert res == {"n": "t"} and err is None and slept == [0.2, 0.2]
+
+
+def test_round_robin_takes_text_and_null_keys(spark):
+    docs = spark.createDataFrame([("x", "text 1"), ("y", "text 2"), (None, "text 4")], "k string, text string")
+    out = extract.extract_structured(docs, "text", "k", SCHEMA, [a, b], strategy="round_robin").collect()
+    assert len(out) == 3 and all(r["error"] is None for r in out)
+    assert {r["k"]: r["fn_index"] for r in out}[None] == 0
+
+
+def test_functions_may_take_the_attempt_number(spark):
+    def make():
+        def shaky(text, attempt=0):
+            if attempt < 2:
+                raise TimeoutError("busy")
+            return {"n": str(attempt)}
+        return shaky
+    out = extract.extract_structured(_docs(spark), "text", "k", SCHEMA, make(), retry=extract.CONSTANT, sleep=lambda s: None)
+    assert {r["result"]["n"] for r in out.collect()} == {"2"}
