@@ -46,6 +46,8 @@ TREES = 10
 LEAF = 4096
 LEVELS = 40
 SKETCH_MIN = 40
+#: Rows that a task turns into Python objects at a time.
+SLICE = 512
 
 _RNG = np.random.default_rng(20_240_607)
 _MULT = _RNG.integers(1, 2**63, COORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -60,6 +62,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def slices(batches):
+    """The batches in parts of few rows, so that few texts or sets are Python objects at a time."""
+    for batch in batches:
+        for lo in range(0, max(1, batch.num_rows), SLICE):
+            yield batch.slice(lo, SLICE)
+
+
 def shingle_sets(texts: list, width: int):
     """(flat, starts): all texts' sorted distinct shingle hashes, one after the other."""
     import xxhash
@@ -104,10 +113,9 @@ def signatures(hashes: list) -> np.ndarray:
 
 def _describe(width: int):
     def run(batches):
-        for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for lo in range(0, len(texts), 2000):
-                hashes, sizes = shingle_sets(texts[lo:lo + 2000], width)
+        for part in slices(batches):
+            if part.num_rows:
+                hashes, sizes = shingle_sets(part.column(1).to_pylist(), width)
                 full = np.flatnonzero(sizes)
                 keys, sigs = [None] * len(sizes), [None] * len(sizes)
                 if len(full):
@@ -115,7 +123,7 @@ def _describe(width: int):
                     for row, i in enumerate(full.tolist()):
                         keys[i] = hashlib.blake2b(hashes[i].tobytes(), digest_size=16).digest()
                         sigs[i] = sig[row].tobytes()
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, len(sizes)), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())],
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())],
                                                  names=["doc_id", "n", "key", "sig"])
 
     return run
@@ -192,6 +200,7 @@ def _between(sets: list[np.ndarray], num: int, roots: list) -> list[tuple[int, i
     order = np.argsort(ids, kind="stable")
     posting, first = owner[order], np.r_[0, np.cumsum(np.bincount(ids))]
     at = np.r_[0, np.cumsum(n)]
+    del owner, order
     largest, out = np.bincount(root).argmax(), []
     # a link between components has an end outside the largest one
     for i in np.flatnonzero(root != largest).tolist():
@@ -240,15 +249,14 @@ def _node_pairs(num: int, with_sets: bool):
             done = held.slice(0, stop)
             keys = done.column("key").to_pylist()
             if with_sets:
-                roots = done.column("root").to_pylist()
-                sets = [np.frombuffer(x, np.uint64) for x in done.column("set").to_pylist()]
+                roots, sets = done.column("root").to_pylist(), done.column("set")
             else:
                 n = done.column("n").to_numpy()
                 sketch = np.frombuffer(b"".join(done.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, COORDS)
             out = [[], [], []]
             for k in range(len(edges) - 1) if with_sets else likely(edges, n, sketch).tolist():
                 lo, hi = int(edges[k]), int(edges[k + 1])
-                pairs = _between(sets[lo:hi], num, roots[lo:hi]) if with_sets else _forest(n[lo:hi], sketch[lo:hi], num)
+                pairs = _between([np.frombuffer(x.as_buffer(), np.uint64) for x in sets.slice(lo, hi - lo)], num, roots[lo:hi]) if with_sets else _forest(n[lo:hi], sketch[lo:hi], num)
                 for i, j, *tree in pairs:
                     a, b = sorted((keys[lo + i], keys[lo + j]))
                     name = int(mix(node[lo:lo + 1].view(np.uint64) + _MIX * np.uint64(tree[0] + 1)).view(np.int64)[0]) if tree else int(node[lo])
@@ -324,11 +332,9 @@ def class_roots(docs: DataFrame, classes: DataFrame, width: int, num: int) -> Da
 
 def _sets(width: int):
     def run(batches):
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for lo in range(0, len(texts), 2000):
-                hashes, _ = shingle_sets(texts[lo:lo + 2000], width)
-                packed = [h.tobytes() for h in hashes]
+        for part in slices(batches):
+            if part.num_rows:
+                packed = [h.tobytes() for h in shingle_sets(part.column(0).to_pylist(), width)[0]]
                 yield pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(p, digest_size=16).digest() for p in packed], pa.binary()), pa.array(packed, pa.binary())], names=["key", "set"])
 
     return run
@@ -336,7 +342,7 @@ def _sets(width: int):
 
 def _confirm(num: int):
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             good = []
             for a, b in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist()):
                 a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
