@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import rules as R
-from ..operators import score, sets
+from ..operators import match, score, sets
+from ..plans import patient
 from . import sqlfrag as S
 from .common import table
 
@@ -50,6 +51,42 @@ SELECT field, sum(m)::BIGINT AS matches, sum(t)::BIGINT AS total, {S.pct('sum(m)
 FROM res GROUP BY field"""
 
 
+# --- T2: the financial task's scorecard, lists held in the row ---------------------------
+
+def financial_scorecard(spark, sf_dir):
+    """Gold lists are a part's name words, type words and brand (none for ``k % 6 = 0``); the prediction
+    loses all but the first word (``k % 5``), lowers the type (``k % 7``), has no brand (``k % 4``),
+    adds one twice (``k % 9``), or is missing (``k % 13``)."""
+    part = table(spark, sf_dir, "part")
+    k, words, kinds = F.col("p_partkey"), F.split("p_name", " "), F.split("p_type", " ")
+    none = F.array().cast("array<string>")
+    gold = part.select(k.alias("record_id"), words.alias("company"), kinds.alias("product"),
+                       F.when(k % 6 == 0, none).otherwise(F.array("p_brand")).alias("brand"))
+    pred = part.where(k % 13 != 0).select(
+        k.alias("record_id"), F.when(k % 5 == 0, F.slice(words, 1, 1)).otherwise(words).alias("company"),
+        F.when(k % 7 == 0, F.split(F.lower("p_type"), " ")).otherwise(kinds).alias("product"),
+        F.when(k % 4 == 0, F.lit(None)).when(k % 9 == 0, F.array("p_brand", "p_brand", F.lit("x")))
+        .otherwise(F.array("p_brand")).alias("brand"))
+    matched = match.match_records(gold, pred, gold_seq=None)
+    checks = patient.financial_checks(matched)
+    return score.scorecard(score.outcomes(matched, checks), checks)
+
+
+SQL["financial_scorecard"] = f"""
+WITH b AS (SELECT p_partkey AS k, string_split(p_name, ' ') AS words, string_split(p_type, ' ') AS kinds,
+                  string_split(lower(p_type), ' ') AS low, p_brand FROM part WHERE p_partkey % 13 <> 0),
+l AS (
+  SELECT 'company' AS field, words AS g, CASE WHEN k % 5 = 0 THEN words[1:1] ELSE words END AS p FROM b
+  UNION ALL SELECT 'product', kinds, CASE WHEN k % 7 = 0 THEN low ELSE kinds END FROM b
+  UNION ALL SELECT 'brand', CASE WHEN k % 6 = 0 THEN [] ELSE [p_brand] END,
+         CASE WHEN k % 4 = 0 THEN [] WHEN k % 9 = 0 THEN [p_brand, p_brand, 'x'] ELSE [p_brand] END FROM b),
+res AS (SELECT field,
+               CASE WHEN len(g) = 0 AND len(p) = 0 THEN 1 ELSE len(list_intersect(list_distinct(g), p)) END AS m,
+               CASE WHEN len(g) = 0 AND len(p) = 0 THEN 1 ELSE len(list_distinct(g)) END AS t FROM l)
+SELECT field, sum(m)::BIGINT AS matches, sum(t)::BIGINT AS total, {S.pct('sum(m)', 'sum(t)')} AS percentage
+FROM res GROUP BY field"""
+
+
 # --- L2 (+ C14) -------------------------------------------------------------
 
 def set_equal(spark, sf_dir):

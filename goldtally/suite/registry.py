@@ -25,7 +25,8 @@ _register(rule_queries, ["rule_text", "rule_enum", "rule_number", "rule_date", "
 
 from . import collection_queries  # noqa: E402
 
-_register(collection_queries, ["set_overlap", "set_equal", "count_match", "first_element"])
+_register(collection_queries, ["set_overlap", "set_equal", "count_match", "first_element",
+                               "financial_scorecard"])
 
 from . import claim_queries  # noqa: E402
 
