@@ -1,11 +1,15 @@
 """Operator 2: near duplicates among embeddings by a pivot-permutation index.
 
 Reference points ("pivots") are a bounded sample of the vectors, ``PIVOTS`` of
-them at most and else about twice the square root of their number.  Each
-distinct vector is described by its ``NEAREST`` nearest pivots in order, and is
-entered in those pivots' inverted lists.  Members of a list that share at
-least ``SHARED`` pivots are candidates, and candidates are verified by cosine in
-double precision.  A pair counts in the list of its smallest shared pivot
+them at most and else about twice the square root of their number.  No two
+pivots are closer than a cosine bound below the threshold, so that a group of
+near vectors owns few of them, however many rows it has.  The bound is the
+least of ``BOUNDS`` at which half of the wanted pivots are found.
+Each distinct vector is described by its ``NEAREST`` nearest pivots in order, and is
+entered in those pivots' inverted lists; the nearest one is its home.  All
+members of a list are compared by cosine in double precision, except members of
+one home in another pivot's list, which meet at home.
+A pair of one home counts at home, any other in the list of its smallest shared pivot
 only, so links are counted without ever writing pairs; a list also writes, for
 each linked member, the smallest member it is linked to there through others.
 Lists longer than ``BLOCK`` are compared in pairs of blocks, each a task of its own.
@@ -33,8 +37,10 @@ from .components import components
 
 PIVOTS = 16_384
 NEAREST = 8
-SHARED = 2
 BLOCK = 4096
+#: Cosines that two pivots may have at most, and how many vectors are looked at for each wanted pivot.
+BOUNDS = (0.5, 0.6, 0.7, 0.8)
+LOOKED_AT = 2
 
 
 def _matrix(column) -> np.ndarray:
@@ -47,9 +53,34 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _enter(pivots: np.ndarray):
+def _apart(unit: np.ndarray, bound: float, most: int) -> np.ndarray:
+    """Indices of the first ``most`` rows that have no cosine over ``bound`` with an earlier chosen one."""
+    chosen: list[int] = []
+    for lo in range(0, len(unit), 256):
+        part = unit[lo:lo + 256]
+        free = (part @ unit[chosen].T <= bound).all(1)
+        own = part @ part.T > bound
+        for i in range(len(part)):
+            if free[i]:
+                chosen.append(lo + i)
+                free[i + 1:] &= ~own[i, i + 1:]
+                if len(chosen) == most:
+                    return np.array(chosen)
+    return np.array(chosen, dtype=np.int64)
+
+
+def separated(sample: np.ndarray, most: int, threshold: float) -> np.ndarray:
+    """Pivots out of ``sample``: half of ``most`` at least where some bound allows it."""
+    unit = _unit(sample)
+    for bound in [b for b in BOUNDS if b <= threshold - 0.1] or [threshold - 0.1]:
+        chosen = _apart(unit, bound, most)
+        if 2 * len(chosen) >= most:
+            break
+    return unit[chosen]
+
+
+def _enter(unit: np.ndarray):
     """One row for each of a vector's nearest pivots."""
-    unit = _unit(pivots)
     k = min(NEAREST, len(unit))
 
     def run(batches):
@@ -66,56 +97,68 @@ def _enter(pivots: np.ndarray):
     return run
 
 
-def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest index reachable over links (a, b)."""
-    root = np.arange(n)
+def _roots(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest index reachable over links (a, b) and those that ``root`` comes from."""
     while True:
+        apart = root[a] != root[b]
+        a, b = a[apart], b[apart]
+        if not len(a):
+            return root
         low = np.minimum(root[a], root[b])
         new = root.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
         np.minimum.at(new, root[a], low)
         np.minimum.at(new, root[b], low)
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
+        while (new[new] != new).any():
+            new = new[new]
+        root = new[root]
 
 
 def _verify(threshold: float):
     def run(key, group):
         pivot, i, j = (x.as_py() for x in key)
-        group = group.sort_by([("part", "ascending"), ("key", "ascending")])
-        part = group.column("part").to_numpy()
+        near = group.column("near").combine_chunks().flatten().to_numpy().reshape(group.num_rows, -1)
+        by_home = group.append_column("home", pa.array(near[:, 0]))
+        group = by_home.sort_by([("part", "ascending"), ("home", "ascending"), ("key", "ascending")])
+        part, home = group.column("part").to_numpy(), group.column("home").to_numpy()
         x = _unit(_matrix(group.column("vec").combine_chunks()))
         near = group.column("near").combine_chunks().flatten().to_numpy().reshape(len(x), -1)
         copies = group.column("copies").to_numpy()
         cut = len(x) if i == j else int((part == i).sum())
-        from_, to = [], []
-        for lo in range(0, cut, 512):
-            hi = min(cut, lo + 512)
-            first = 0 if i == j else cut
-            shared = np.zeros((hi - lo, len(x) - first), dtype=np.int8)
-            for p in range(near.shape[1]):
-                for q in range(near.shape[1]):
-                    shared += near[lo:hi, p, None] == near[None, first:, q]
-            a, b = np.nonzero(shared >= min(SHARED, near.shape[1]))
-            a, b = a + lo, b + first
-            keep = a < b
-            a, b = a[keep], b[keep]
-            for s in range(0, len(a), 100_000):  # only candidates are verified, in double precision
-                u, v = a[s:s + 100_000], b[s:s + 100_000]
-                good = np.einsum("ij,ij->i", x[u], x[v]) >= threshold
-                u, v = u[good], v[good]
-                same = near[u][:, :, None] == near[v][:, None, :]
-                least = np.where(same.any(2), near[u], np.iinfo(np.int32).max).min(1)
-                from_.append(u[least == pivot])
-                to.append(v[least == pivot])
-        a, b = (np.concatenate(z) if z else np.zeros(0, dtype=np.int64) for z in (from_, to))
-        n_links = np.bincount(a, copies[b], len(x)) + np.bincount(b, copies[a], len(x)) if len(a) else np.zeros(len(x))
+        n_links, root = np.zeros(len(x), dtype=np.int64), np.arange(len(x))
+
+        def compare(lo, hi, first, last, one_home):
+            """Links of rows lo to hi with rows first to last."""
+            nonlocal root
+            good = x[lo:hi] @ x[first:last].T >= threshold
+            if one_home:
+                if lo == first:
+                    good &= np.arange(hi - lo)[:, None] < np.arange(last - first)
+            else:
+                a, b = np.nonzero(good)
+                for s in range(0, len(a), 100_000):
+                    u, v = a[s:s + 100_000], b[s:s + 100_000]
+                    p, q = near[u + lo], near[v + first]
+                    least = np.where((p[:, :, None] == q[:, None, :]).any(2), p, np.iinfo(np.int32).max).min(1)
+                    good[u, v] = least == pivot
+            n_links[lo:hi] += good @ copies[first:last]
+            n_links[first:last] += copies[lo:hi] @ good
+            a, b = np.nonzero(good)
+            root = _roots(root, a + lo, b + first)
+
+        edges = np.flatnonzero(np.r_[True, home[1:cut] != home[:cut - 1], True]) if cut else np.zeros(1, dtype=np.int64)
+        for start, stop in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            same = (stop, stop) if i == j else tuple((cut + np.searchsorted(home[cut:], home[start], side) for side in ("left", "right")))
+            for lo in range(start, stop, 512):
+                hi = min(stop, lo + 512)
+                if home[start] == pivot:
+                    compare(lo, hi, *((lo, stop) if i == j else same), True)
+                if i != j and same[0] > cut:
+                    compare(lo, hi, cut, same[0], False)
+                if same[1] < len(x):
+                    compare(lo, hi, same[1], len(x), False)
         rows = np.flatnonzero(n_links)
         keys = group.column("key")
-        return pa.table([keys.take(pa.array(rows)), keys.take(pa.array(_roots(len(x), a, b)[rows])), pa.array(n_links[rows].astype(np.int64))], names=["key", "root", "n"])
+        return pa.table([keys.take(pa.array(rows)), keys.take(pa.array(root[rows])), pa.array(n_links[rows])], names=["key", "root", "n"])
 
     return run
 
@@ -130,10 +173,12 @@ def embedding_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str
     keyed = stored(keyed, "vectors")
     classes = stored(keyed.filter("key is not null").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("vec").alias("vec")), "classes")
     n = classes.count()
-    pivots = classes.orderBy(F.xxhash64("key"), "key").limit(min(PIVOTS, max(16, math.ceil(2 * math.sqrt(n))))).select("vec").collect()
-    if not pivots:
+    most = min(PIVOTS, max(16, math.ceil(2 * math.sqrt(n))))
+    sample = classes.orderBy(F.xxhash64("key"), "key").limit(LOOKED_AT * most).select("vec").toArrow()
+    if not sample.num_rows:
         return keyed.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    entered = classes.select("key", "copies", "vec").mapInArrow(_enter(np.array([r.vec for r in pivots])), "pivot int, key binary, copies long, vec array<double>, near array<int>")
+    pivots = separated(_matrix(sample.column("vec").combine_chunks()), most, threshold)
+    entered = classes.select("key", "copies", "vec").mapInArrow(_enter(pivots), "pivot int, key binary, copies long, vec array<double>, near array<int>")
     entered = stored(entered, "inverted")
     # lists in blocks: members of a block meet each other and the members of every other block of the list
     blocks = {r.pivot: -(-r["count"] // BLOCK) for r in entered.groupBy("pivot").count().filter(f"count > {BLOCK}").collect()}  # PIVOTS rows at most

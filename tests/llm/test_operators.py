@@ -190,6 +190,29 @@ def test_embeddings_equal_brute_force(spark):
     assert embedding_dedup.embedding_duplicates(df.filter("vec_id < 0")).count() == 0
 
 
+@pytest.mark.parametrize("cosine", [0.93, 0.98])
+def test_links_of_a_large_noisy_group_are_found(spark, cosine):
+    rng = np.random.default_rng(7)
+    n, dim = 3000, 64
+    x = rng.normal(size=(n, dim)) / dim ** 0.5
+    x[:n // 3] = cosine ** 0.5 * x[0] / np.linalg.norm(x[0]) + (1 - cosine) ** 0.5 * x[:n // 3]
+    x[2000:2500] = x[1500:2000] + 0.25 * x[2000:2500]
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    true = (unit @ unit.T >= 0.9).sum(1) - 1
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in embedding_dedup.embedding_duplicates(df).collect()}
+    links = np.array([got[k].n_links for k in range(n)])
+    assert (links <= true).all() and links.sum() >= 0.999 * true.sum() and links[1500:].sum() >= 0.99 * true[1500:].sum()
+
+
+def test_a_group_owns_few_pivots():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(400, 64))
+    x[::2] = rng.normal(size=64) + 0.2 * x[::2]
+    pivots = embedding_dedup.separated(x, 200, 0.9)
+    assert len(pivots) >= 100 and np.triu(pivots @ pivots.T, 1).max() <= 0.5
+
+
 def test_hmm_base_and_exact_forward(docs, empty):
     rows = hmm_lm.lm_scores(docs, (docs.doc_id % 5 == 2)).collect()
     train = collections.Counter()
