@@ -4,9 +4,10 @@ Base patterns find assignments, access keys and long hexadecimal strings.
 Beside them, every string of secret characters that follows a sensitive word
 closely is a candidate; its marginal compressed bytes are measured with a
 zstandard dictionary made of code identifiers and of the text around it (without
-the candidate itself).  A candidate that costs nearly its own length, so cannot be
+the candidate itself).  A candidate that costs nearly what its alphabet allows, so cannot be
 built from its surroundings, is reported as kind ``novel``, unless a base
-span covers it.
+span covers it.  Candidates are read to their end; one goes on over
+lines of its length and one shorter line (a shorter line alone only from 40 characters on).
 
 Defined cases: a null text is empty and has no spans; rows stay as they
 are, repeated or with a null id; an empty table gives an empty result.
@@ -16,6 +17,7 @@ Positions are code points, ends exclusive.  Whole texts are read.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 
 import pyarrow as pa
@@ -29,14 +31,26 @@ KINDS = ("assign", "access", "hex", "novel")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_HINTS = (b"passw", b"pwd", b"secret", b"token", b"key", b"credential", b"auth", b"private", b"bearer", b"signature")
-_SENSITIVE = re.compile(r"(?:passw(?:or)?d|passphrase|pwd|secret|token|api[_ -]?key|access[_ -]?key|credential|authorization|private[_ -]?key|bearer|signature)s?(?![a-z])", re.I | re.A)
+#: Sensitive words, each by a part that every spelling of it holds, and its pattern.
+_WORDS = {"passw": "passw(?:or)?d", "passphrase": "passphrase", "pwd": "pwd", "secret": "secret", "token": "token",
+          "key": "(?:api|access|private)[_ -]?key", "credential": "credential", "authorization": "authorization", "bearer": "bearer", "signature": "signature"}
+_HINTS = tuple(map(str.encode, _WORDS))
+_SENSITIVE = re.compile(f"(?:{'|'.join(_WORDS.values())})s?(?![a-z])", re.I | re.A)
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
+_LINE = re.compile(r"[ \t]*\r?\n[ \t]*([A-Za-z0-9+/_=-]+)(?=[ \t]*(?:\r?\n|\Z))")
+#: A candidate goes on over following lines of its length, as an armoured key does, and one shorter line; over this alone if it has this length.
+LINE = 40
 #: How far behind a sensitive word a candidate may start, and how much text around it primes the dictionary.
 REACH = 48
 AROUND = 2048
-#: Marginal bytes for each character from which a candidate is incompressible.
+#: Marginal bytes for each character from which a candidate is incompressible, and the share of its
+#: alphabet's entropy that is enough where that is less.
 NOVELTY = 0.7
+SHARE = 0.92
+#: Alphabets that keys are written in, smallest first; any other candidate has all 66 characters.
+_ALPHABETS = [(len(a), re.compile(f"[{c}]+")) for a, c in (
+    ("0123456789abcdef", "0-9a-f"), ("0123456789ABCDEF", "0-9A-F"), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "A-Z2-7="), ("abcdefghijklmnopqrstuvwxyz234567", "a-z2-7="),
+    ("0123456789abcdefghijklmnopqrstuvwxyz", "0-9a-z"), ("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0-9A-Z"))]
 #: Identifiers that often stand in code beside secrets.
 IDENTIFIERS = (
     b"abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 000000000000 xxxxxxxxxxxx "
@@ -57,6 +71,24 @@ def novelty(text: str, start: int, end: int) -> float:
     return (len(press.compress(own)) - len(press.compress(b""))) / len(own)
 
 
+def enough(body: str) -> float:
+    """The novelty from which ``body`` is incompressible, by the smallest alphabet that it is written in."""
+    body = "".join(re.split("[-_\\s]", body))
+    size = next((size for size, pattern in _ALPHABETS if pattern.fullmatch(body)), 66)
+    return min(NOVELTY, SHARE * math.log2(size) / 8)
+
+
+def candidates(text: str, after: int):
+    """(start, end) of whole candidates that start at most REACH behind ``after``, over all lines of a key."""
+    at, stop = after, after + REACH + 12
+    while m := _CANDIDATE.search(text, at, stop):
+        start, at = m.start(), _CANDIDATE.match(text, m.start()).end()
+        first, lines, last = at - start, 1, at - start
+        while last == first and (line := _LINE.match(text, at)) and (len(line[1]) == first or len(line[1]) < first and (lines > 1 or first >= LINE)):
+            lines, last, at = lines + 1, len(line[1]), line.end()
+        yield start, at
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind number, end) of the base kinds."""
     low = text.encode().lower()
@@ -76,15 +108,12 @@ def novel_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
         return []
     found, done = [], set()
     for m in _SENSITIVE.finditer(text):
-        for c in _CANDIDATE.finditer(text, m.end(), min(len(text), m.end() + REACH + 4096)):
-            if c.start() - m.end() > REACH:
-                break
-            s, e = c.span()
-            body = c[0]
+        for s, e in candidates(text, m.end()):
+            body = text[s:e]
             if s in done or not re.search("[0-9]", body) or not re.search("[A-Za-z]", body) or any(x <= s and e <= y for x, _, y in base):
                 continue
             done.add(s)
-            if novelty(text, s, e) >= NOVELTY:
+            if novelty(text, s, e) >= enough(body):
                 found.append((s, 3, e))
     return found
 
