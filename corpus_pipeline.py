@@ -31,9 +31,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group of near copies (five-word shingles, 0.8) stays."""
-    kept = stored(near_dedup.near_duplicates(docs, width=5, percent=80).filter("kept").select(F.col("doc_id").alias("_kept")).distinct(), "kept")
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    """The row with the least id of each group of near copies (five-word shingles, 0.8) stays."""
+    return near_dedup.one_of_each(docs, width=5, percent=80)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

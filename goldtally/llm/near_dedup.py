@@ -123,8 +123,9 @@ def _describe(width: int):
                     for row, i in enumerate(full.tolist()):
                         keys[i] = hashlib.blake2b(hashes[i].tobytes(), digest_size=16).digest()
                         sigs[i] = sig[row].tobytes()
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())],
-                                                 names=["doc_id", "n", "key", "sig"])
+                others = [k for k, name in enumerate(part.schema.names) if name != "text"]
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in others), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())],
+                                                 names=[*(part.schema.names[k] for k in others), "n", "key", "sig"])
 
     return run
 
@@ -370,12 +371,37 @@ def confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int,
     return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "set_a", "set_b").mapInArrow(_confirm(num), "a binary, b binary")
 
 
+def _linked(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows with their class's key, classes, and components of classes; columns beside doc_id and text stay with the rows."""
+    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name != "text")
+    described = stored(docs.mapInArrow(_describe(width), f"{kept}n long, key binary, sig binary"), "shingled")
+    classes = stored(described.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
+    return described, classes, stored(class_roots(docs.select("doc_id", "text"), classes, width, percent), "roots")
+
+
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one row of each component, that of the least id; rows without words stay, but only one of equal rows.
+
+    A row is known by all of its columns, so ids may be null or repeated; rows equal in all of them are one row repeated.
+    """
+    name = "_row"
+    while name in docs.columns:
+        name += "_"
+    rows = docs.withColumn(name, F.unhex(F.md5(F.to_json(F.struct(*(F.col(c).alias(f"c{k}") for k, c in enumerate(docs.columns)))).cast("binary"))))
+    described, _, roots = _linked(rows.select("doc_id", "text", F.col(name).alias("row")), width, percent)
+    distinct = described.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("key").alias("key"), F.count(F.lit(1)).alias("copies"))
+    named = distinct.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("group", F.coalesce("root", "key", "row"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "row", "copies"))
+    kept = stored(named.groupBy("group", F.col("key").isNull()).agg(first.alias("r")).select(F.col("r.row").alias(name), F.col("r.copies").alias("copies")), "kept")
+    once = rows.join(kept.filter("copies = 1").select(name), name, "left_semi")
+    # equal rows are reduced in each task before they meet
+    again = rows.join(kept.filter("copies > 1").select(name), name, "left_semi").withColumn(name, F.hex(name)).dropDuplicates([name])
+    return once.select(*docs.columns).union(again.select(*docs.columns))
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text)."""
-    docs = docs.select("doc_id", "text")
-    described = stored(docs.mapInArrow(_describe(width), "doc_id long, n long, key binary, sig binary"), "shingled")
-    classes = stored(described.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
-    roots = stored(class_roots(docs, classes, width, percent), "roots")
+    described, classes, roots = _linked(docs.select("doc_id", "text"), width, percent)
     named = classes.select("key", "rep").join(roots.withColumnRenamed("node", "key"), "key")
     names = named.groupBy("root").agg(F.min("rep").alias("linked_id"))
     linked = named.select("key", "root").join(names, "root").select("key", "linked_id")
