@@ -10,6 +10,11 @@
    sketches of one byte for each coordinate.  At their first level the trees
    branch on 13 coordinates in all, so a pair at the threshold meets in no
    node with a probability of 0.2 ** 13.
+   A large child with ``STUCK`` of its parent's members or more, as tight copies
+   of one template make it, does not branch on.  Its members are confirmed against a few
+   representatives by their full sets; then it is cut into blocks, of one
+   component where that is large, and each pair of blocks is a node of its own, except
+   pairs of blocks of one component, where no link can join anything new.
 3. Of a node's pairs that agree on ``SKETCH_MIN`` or more coordinates (a pair at
    the threshold falls below that with a probability of about 2e-4), the node
    puts forward a maximum spanning forest: fewer pairs than members.  They are confirmed by
@@ -31,6 +36,7 @@ table gives an empty result.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
@@ -45,6 +51,10 @@ COORDS = 64
 TREES = 10
 LEAF = 4096
 LEVELS = 40
+#: Share of a parent's members from which a child is not branched: below it, 1.25 children of each member are no more rows than before.
+STUCK = 0.75
+#: Representatives of a crowded node that its members are confirmed against.
+STARS = 3
 SKETCH_MIN = 40
 #: Rows that a task turns into Python objects at a time.
 SLICE = 512
@@ -130,16 +140,23 @@ def _describe(width: int):
     return run
 
 
-def _chosen(node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The coordinates that a node branches on: one, and in a quarter of the nodes another."""
+def _chosen(node: np.ndarray, used: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The unused coordinates that a node branches on: one, and in a quarter of the nodes another."""
     h = mix(node + _MIX)
-    first = (h % np.uint64(COORDS)).astype(np.int64)
-    step = ((h >> np.uint64(8)) % np.uint64(COORDS - 1)).astype(np.int64) + 1
-    return first, (first + step) % COORDS, (h >> np.uint64(40)) % np.uint64(4) == 0
+
+    def unused(coord, taken):
+        coord = coord % COORDS
+        while (hit := (taken >> coord.astype(np.uint64)) & np.uint64(1) == 1).any():
+            coord = np.where(hit, (coord + 1) % COORDS, coord)
+        return coord
+
+    first = unused((h % np.uint64(COORDS)).astype(np.int64), used)
+    second = unused(((h >> np.uint64(8)) % np.uint64(COORDS)).astype(np.int64), used | np.uint64(1) << first.astype(np.uint64))
+    return first, second, (h >> np.uint64(40)) % np.uint64(4) == 0
 
 
 def _branch(trees: int | None):
-    """Children of (node, key, sig) rows; with ``trees``, of every tree's root for (key, sig) rows."""
+    """Children of (node, key, used, parent, sig) rows; with ``trees``, of every tree's root for (key, sig) rows."""
 
     def run(batches):
         for batch in batches:
@@ -149,18 +166,23 @@ def _branch(trees: int | None):
             rows = np.arange(len(sig))
             nodes = ([np.full(len(sig), mix(np.array([t + 1], dtype=np.uint64))[0]) for t in range(trees)] if trees
                      else [batch.column("node").to_numpy().view(np.uint64)])
-            out_node, out_row = [], []
+            used = np.zeros(len(sig), dtype=np.uint64) if trees else batch.column("used").to_numpy().view(np.uint64)
+            out_node, out_row, out_used = [], [], []
             for k, node in enumerate(nodes):
-                first, second, also = _chosen(node)
                 if trees:  # roots spread over all coordinates, so that trees are independent
                     first, second = np.full(len(sig), 4 * k % COORDS), np.full(len(sig), (4 * k + 1) % COORDS)
                     also = np.full(len(sig), k % 4 == 0)
+                else:
+                    first, second, also = _chosen(node, used)
                 for coord, pick in ((first, rows), (second, rows[also])):
                     value = sig[pick, coord[pick]].astype(np.uint64)
                     out_node.append(mix(node[pick] * _MIX + (value << np.uint64(8)) + coord[pick].astype(np.uint64)))
+                    out_used.append(used[pick] | np.uint64(1) << coord[pick].astype(np.uint64))
                     out_row.append(pick)
-            at = np.concatenate(out_row)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_node).view(np.int64)), batch.column("key").take(pa.array(at))], names=["node", "key"])
+            at = pa.array(np.concatenate(out_row))
+            parent = batch.column("size").take(at) if not trees else pa.nulls(len(at), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_node).view(np.int64)), batch.column("key").take(at), pa.array(np.concatenate(out_used).view(np.int64)), parent],
+                                             names=["node", "key", "used", "parent"])
 
     return run
 
@@ -281,25 +303,63 @@ def _sketches(batches):
         yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("n"), pa.array([r.tobytes() for r in sig.astype(np.uint8)], pa.binary())], names=["key", "n", "sketch"])
 
 
-def leaves(classes: DataFrame) -> DataFrame:
-    """(node, key, n, sketch) of every node that is compared: at most LEAF members, or never getting smaller."""
+def leaves(classes: DataFrame, confirm) -> tuple[DataFrame, DataFrame]:
+    """(node, key, n, sketch) of every node that is compared, of about LEAF members at most, and links (a, b) confirmed on the way."""
     sketches = stored(classes.select("key", "n", "sig").mapInArrow(_sketches, "key binary, n long, sketch binary"), "sketches")
-    rows = classes.select("key", "sig").mapInArrow(_branch(TREES), "node long, key binary")
-    parts = []
+    schema = "node long, key binary, used long, parent long"
+    rows = classes.select("key", "sig").mapInArrow(_branch(TREES), schema)
+    parts, crowds = [], []
     for level in range(LEVELS):
         rows = stored(rows, "paths")
         sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
         members = stored(rows.join(sizes, "node"), "members")
-        last = level == LEVELS - 1
-        parts.append((members if last else members.filter(f"size <= {LEAF}")).select("node", "key"))
+        parts.append(members.filter(f"size <= {LEAF}").select("node", "key"))
         large = members.filter(f"size > {LEAF}")
-        if last or large.isEmpty():
+        if large.isEmpty():
+            break
+        stuck = F.lit(True) if level == LEVELS - 1 else F.coalesce(F.col("size") >= STUCK * F.col("parent"), F.lit(False))
+        crowds.append(large.filter(stuck).select("node", "key"))
+        large = large.filter(~stuck).select("node", "key", "used", "size")
+        rows = large.join(classes.select("key", "sig"), "key").mapInArrow(_branch(None), schema)
+    union = lambda frames: functools.reduce(DataFrame.union, frames)
+    stars = classes.sparkSession.createDataFrame([], "a binary, b binary")
+    if crowds:
+        crowded = stored(union(crowds), "crowded")
+        if not crowded.isEmpty():
+            stars, blocks = _blocks(crowded, confirm)
+            parts.append(blocks)
+    return stored(union(parts).join(sketches, "key").select("node", "key", "n", "sketch"), "leaves"), stars
+
+
+def _blocks(crowded: DataFrame, confirm) -> tuple[DataFrame, DataFrame]:
+    """Links of members to representatives, and (node, key) of the pairs of blocks that crowded nodes are compared in."""
+    stars, left, roots = [], crowded, None
+    for _ in range(STARS):
+        heads = left.groupBy("node").agg(F.min("key").alias("head"))
+        pairs = left.join(heads, "node").filter("key != head").select(F.least("key", "head").alias("a"), F.greatest("key", "head").alias("b")).distinct()
+        stars.append(stored(confirm(pairs), "stars"))
+        roots = stored(components(functools.reduce(DataFrame.union, stars)), "starred")
+        rooted = left.join(roots.withColumnRenamed("node", "key"), "key", "left").select("node", "key", F.coalesce("root", "key").alias("root"))
+        ends = heads.join(roots.withColumnRenamed("node", "head"), "head", "left").select("node", F.coalesce("root", "head").alias("root"))
+        left = stored(rooted.join(ends, ["node", "root"], "left_anti").select("node", "key"), "unlinked")
+        if left.isEmpty():
             break
-        rows = large.select("node", "key").join(classes.select("key", "sig"), "key").select("node", "key", "sig").mapInArrow(_branch(None), "node long, key binary")
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.union(part)
-    return stored(out.join(sketches, "key").select("node", "key", "n", "sketch"), "leaves")
+    half = LEAF // 2
+    rooted = crowded.join(roots.withColumnRenamed("node", "key"), "key", "left").select("node", "key", F.coalesce("root", "key").alias("root"))
+    rooted = stored(rooted, "rooted")
+    # members of a component that fills a block have blocks of their own; those of all others are mixed
+    sizes = rooted.groupBy("node", "root").agg(F.count(F.lit(1)).alias("size"))
+    whole = sizes.filter(f"size >= {half}").select("node", "root", F.ceil(F.col("size") / half).alias("many"), F.col("root").alias("one"))
+    mixed = sizes.filter(f"size < {half}").groupBy("node").agg(F.ceil(F.sum("size") / half).alias("many"))
+    dealt = rooted.join(whole, ["node", "root"], "left").join(mixed.withColumnRenamed("many", "mixed"), "node", "left")
+    dealt = stored(dealt.select("node", "key", "one", F.pmod(F.xxhash64("key"), F.coalesce("many", "mixed")).alias("part")), "dealt")
+    blocks = stored(whole.select("node", "one", "many").union(mixed.select("node", F.lit(None).cast("binary").alias("one"), "many"))
+                    .select("node", "one", F.explode(F.sequence(F.lit(0).cast("long"), F.col("many") - 1)).alias("part")).withColumn("block", F.xxhash64("node", "one", "part")), "blocks")
+    other = blocks.select("node", F.col("one").alias("one_"), F.col("block").alias("block_"))
+    met = blocks.join(other, "node").filter("block <= block_ AND (one IS NULL OR one_ IS NULL OR one != one_)")
+    met = stored(met.select(F.xxhash64("node", "block", "block_").alias("pair"), F.explode(F.array_distinct(F.array("block", "block_"))).alias("block")), "met")
+    named = dealt.select(F.xxhash64("node", "one", "part").alias("block"), "key")
+    return functools.reduce(DataFrame.union, stars), named.join(met, "block").select(F.col("pair").alias("node"), "key")
 
 
 def _by_node(rows: DataFrame, num: int, with_sets: bool) -> DataFrame:
@@ -308,9 +368,9 @@ def _by_node(rows: DataFrame, num: int, with_sets: bool) -> DataFrame:
 
 def class_roots(docs: DataFrame, classes: DataFrame, width: int, num: int) -> DataFrame:
     """(node, root): components of class keys over all links that the trees' nodes can join."""
-    nodes = leaves(classes)
+    nodes, stars = leaves(classes, lambda pairs: confirmed(docs, classes, pairs, width, num))
     forest = stored(_by_node(nodes, num, False), "forest")
-    first = stored(confirmed(docs, classes, forest.select("a", "b").distinct(), width, num), "confirmed")
+    first = stored(confirmed(docs, classes, forest.select("a", "b").distinct(), width, num).union(stars.select("a", "b")).distinct(), "confirmed")
     roots = stored(components(first), "roots")
     end = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
     ends = lambda pairs: pairs.join(end("a"), "a", "left").join(end("b"), "b", "left").select("*", F.coalesce("root_a", "a").alias("u"), F.coalesce("root_b", "b").alias("v"))

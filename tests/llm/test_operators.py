@@ -167,6 +167,37 @@ def test_links_refused_by_the_forest_are_found_in_the_node():
     assert near_dedup._between(sets, 80, ["a", "b", "c"]) == [(1, 0)] or near_dedup._between(sets, 80, ["a", "b", "c"]) == [(0, 1)]
 
 
+def test_crowds_of_tight_copies_are_split(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "LEAF", 64)
+    rng = random.Random(9)
+    texts = []
+    for template, changes in ((0, 1), (1, 6)):  # a changed serial number; a looser group with refused pairs
+        words = [f"t{template}w{k}" for k in range(60)]
+        for serial in range(300):
+            own = list(words)
+            for k in rng.sample(range(60), changes):
+                own[k] = f"s{template}n{serial}k{k}"
+            texts.append(" ".join(own))
+    texts += [" ".join(texts[299].split()[:54] + [f"far{k}" for k in range(6)])]
+    sets = [set(zip(t.split(), t.split()[1:])) for t in texts]
+    linked = lambda i, j: 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])
+    want = _brute_components(list(range(len(texts))), linked)
+    seen = []
+    leaves = near_dedup.leaves
+
+    def watched(*args):
+        out = leaves(*args)
+        seen.append(out[0].groupBy("node").count().agg({"count": "max", "node": "count"}).first())
+        seen.append(out[0].count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "leaves", watched)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df, 2, 80).collect()}
+    assert [got[k] for k in range(len(texts))] == want
+    assert seen[0]["max(count)"] <= 2 * 64 and seen[1] <= 300 * len(texts)
+
+
 def test_components(spark):
     pairs = [(k, k + 1) for k in range(40)] + [(100, 101), (101, 100), (7, 7)] + [(200, 200 + k) for k in range(1, 50)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(pairs, "a long, b long").repartition(5)).collect()}
