@@ -282,7 +282,7 @@ def _node_pairs(num: int, with_sets: bool):
                 pairs = _between([np.frombuffer(x.as_buffer(), np.uint64) for x in sets.slice(lo, hi - lo)], num, roots[lo:hi]) if with_sets else _forest(n[lo:hi], sketch[lo:hi], num)
                 for i, j, *tree in pairs:
                     a, b = sorted((keys[lo + i], keys[lo + j]))
-                    name = int(mix(node[lo:lo + 1].view(np.uint64) + _MIX * np.uint64(tree[0] + 1)).view(np.int64)[0]) if tree else int(node[lo])
+                    name = int(mix(node[lo:lo + 1].view(np.uint64) + _MIX * np.array(tree[:1], dtype=np.uint64)).view(np.int64)[0]) if tree else int(node[lo])
                     for column, value in zip(out, (name, a, b)):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], names=["node", "a", "b"])
@@ -416,11 +416,11 @@ def _confirm(num: int):
 
 
 def full_sets(docs: DataFrame, classes: DataFrame, keys: DataFrame, width: int) -> DataFrame:
-    """(key, set) of the classes in ``keys``, from the texts of their least ids."""
-    needed = stored(keys.distinct().join(classes.select("key", "rep"), "key"), "needed")
-    texts = docs.select(F.col("doc_id").alias("_id"), "text").join(needed.select("rep").distinct(), F.col("_id").eqNullSafe(F.col("rep")), "left_semi")
-    sets = texts.select("text").mapInArrow(_sets(width), "key binary, set binary").join(needed.select("key"), "key", "left_semi")
-    return stored(sets.dropDuplicates(["key"]), "sets")
+    """(key, set) of the classes in ``keys``, from the texts of their least ids (and of other classes that share these ids)."""
+    # written first, so that its size is known when it meets the texts
+    reps = stored(classes.join(keys, "key", "left_semi").select("rep").distinct(), "reps")
+    texts = docs.select(F.col("doc_id").alias("_id"), "text").join(reps, F.col("_id").eqNullSafe(F.col("rep")), "left_semi")
+    return stored(texts.select("text").mapInArrow(_sets(width), "key binary, set binary").dropDuplicates(["key"]), "sets")
 
 
 def confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, num: int) -> DataFrame:
