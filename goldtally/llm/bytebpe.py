@@ -20,8 +20,9 @@ SPACE = "\t-\r \u0085   -     　"
 # a run of Latin letters ends at these marks in any case; possessive, as a shorter run is no border
 _CHUNK = re.compile(f" ?[A-Za-zÀ-ÖØ-öø-ÿ]++(?=[.,;:!?])| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
-#: Most chunks that a worker remembers between batches.
+#: Most chunks that a worker remembers between batches, and where workers are shared with other stages.
 MEMO = 1_500_000
+SHARED_MEMO = 150_000
 
 
 def chunks(text: str, specials: tuple[str, ...]) -> list[str]:
@@ -220,12 +221,12 @@ def codec(kind, path: str):
     return _CODECS[kind, path]
 
 
-def encode_texts(coder, texts, batch_chars: int = 4_000_000):
+def encode_texts(coder, texts, batch_chars: int = 4_000_000, memo: int = MEMO):
     """Yield the ids of each text as little-endian 32-bit bytes; a null text is empty."""
     held, chars = [], 0
 
     def flush():
-        if len(coder.memo) > MEMO:
+        if len(coder.memo) > memo:
             coder.memo.clear()
         known = coder.memo
         missing: set[str] = set()

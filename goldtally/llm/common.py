@@ -27,3 +27,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def crc_mod(column: str, n: int):
     """crc32 of the id written as text, modulo ``n``; a null id counts as remainder 0."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % n, F.lit(0))
+
+
+def slices(batches, rows: int):
+    """Arrow batches in parts of at most ``rows`` rows, so that few values are Python objects at a time."""
+    for batch in batches:
+        for lo in range(0, max(1, batch.num_rows), rows):
+            yield batch.slice(lo, rows)

@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytebpe import LibraryCodec, codec, encode_texts
-from .common import stored, table
+from .bytebpe import MEMO, SHARED_MEMO, LibraryCodec, codec, encode_texts
+from .common import slices, stored, table
 
 LIMIT = 1024
 END_ID = 2
@@ -33,15 +33,20 @@ GROUP = 8192
 ROUNDS = 3
 
 
-def pieces(docs: DataFrame, path: str, limit: int = LIMIT, end_id: int = END_ID) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32."""
+def pieces(docs: DataFrame, path: str, limit: int = LIMIT, end_id: int = END_ID, shared: bool = False) -> DataFrame:
+    """One row per piece: doc_id, piece, start, length, ids_crc32.
+
+    ``shared``: the workers serve other stages too, so a task holds few texts
+    and chunks at a time and leaves none of them behind.
+    """
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches):
         coder = codec(LibraryCodec, path)
-        for batch in batches:
+        for batch in slices(batches, 256) if shared else batches:
             rows: list[list] = [[], [], [], [], []]
-            for doc, ids in zip(batch.column(0).to_pylist(), encode_texts(coder, batch.column(1).to_pylist())):
+            encoded = encode_texts(coder, batch.column(1).to_pylist(), *((500_000, SHARED_MEMO) if shared else (4_000_000, MEMO)))
+            for doc, ids in zip(batch.column(0).to_pylist(), encoded):
                 ids += end
                 n = len(ids) // 4
                 first = n if n <= limit else n % limit or limit
@@ -51,6 +56,8 @@ def pieces(docs: DataFrame, path: str, limit: int = LIMIT, end_id: int = END_ID)
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))],
                                              names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        if shared:
+            coder.memo.clear()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
