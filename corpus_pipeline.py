@@ -44,7 +44,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """One row per piece with its sequence of at most 1024 tokens and its place there."""
     import public_tokenizers
 
-    return packing.pack(stored(packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json")), "pieces"))
+    return packing.pack(stored(packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), shared=True), "pieces"))
 
 
 STAGES = [("quality_rules", quality_stage), ("toxicity", toxicity_stage), ("near_dedup", dedup_stage), ("secret_scan", secrets_stage), ("packing", packing_stage)]
