@@ -110,6 +110,24 @@ def number_rule(g: Column, p: Column, gtype=None, ptype=None) -> Column:
                       .otherwise(as_text(g, gtype) == as_text(p, ptype)))
 
 
+def rule_key(rule, c: Column, dtype: T.DataType | None = None) -> Column:
+    """The normal form that ``rule`` (text, enum, date or number) compares, null
+    for a null value only: made once for a value that meets many others."""
+    if rule is number_rule:
+        return F.struct(to_number(c, dtype).alias("number"), as_text(c, dtype).cast("string").alias("text"))
+    form = {text_rule: text_key, enum_rule: enum_key, date_text_rule: as_text}[rule]
+    return form(c, dtype).cast("string")
+
+
+def keys_equal(rule, g: Column, p: Column) -> Column:
+    """What ``rule`` says of two values, given their ``rule_key``."""
+    if rule is not number_rule:
+        return g.eqNullSafe(p)
+    both = g["number"].isNotNull() & p["number"].isNotNull()
+    same = F.when(F.isnan(g["number"]) | F.isnan(p["number"]), F.lit(False)).otherwise(g["number"] == p["number"])
+    return null_frame(g["text"], p["text"], F.when(both, same).otherwise(g["text"] == p["text"]))
+
+
 def casefold_rule(g: Column, p: Column, gtype=None, ptype=None) -> Column:
     """Case-insensitive, stripped text."""
     key = lambda c, t: F.lower(trim_ws(as_text(c, t)))

@@ -64,3 +64,11 @@ def test_last_wins_with_null_seq(spark):
     df = spark.createDataFrame([(1, "a", None), (1, "a", None), (2, "b", None), (2, "c", 5)], "record_id long, v string, seq long")
     got = {r.record_id: r.v for r in keys.last_wins(df).collect()}
     assert got == {1: "a", 2: "c"}
+
+
+def test_objects_are_normalised_once_and_the_matrix_is_stored(spark, tmp_path):
+    from goldtally.suite import claim_queries
+
+    plan = _plan(claim_queries.align_pairs(spark, SF))
+    # matrix, direct pairing and keys are read from the stored frame, by one scan for each half
+    assert "regexp_replace" not in plan and "HashAggregate" not in plan and plan.count("FileScan parquet") == 2
