@@ -1,7 +1,7 @@
 """Structured extraction as a distributed batch job.
 
 ``extract_structured`` runs a user function over a text column with
-``mapInPandas``: Arrow batches reach each Python worker, which calls the
+``mapInArrow``: Arrow batches reach each Python worker, which calls the
 function for the rows of the batch on a small thread pool (bounded
 concurrency per task, X2; the cluster-wide bound is tasks x threads, set by
 the partition count).  Failed rows become error rows with their key (X3) or
@@ -14,15 +14,18 @@ resolves any duplicate.  Keep speculation off for jobs with side effects.
 
 from __future__ import annotations
 
+import inspect
+import math
 import time
 import zlib
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 @dataclass(frozen=True)
@@ -44,10 +47,18 @@ CONSTANT = Retry(max_retries=3, delay_ms=200)
 EXPONENTIAL = Retry(max_retries=2, delay_ms=300, multiplier=1.5, max_delay_ms=10_000)
 
 
+def _takes_attempt(fn) -> bool:
+    """Whether ``attempt`` is a parameter of ``fn`` (a local variable of that name is not)."""
+    try:
+        return "attempt" in inspect.signature(fn).parameters
+    except (TypeError, ValueError):  # built-in functions without a signature
+        return False
+
+
 def _call_with_retry(fn, text, retry: Retry, sleep):
     """A function with a parameter ``attempt`` is told the number of this attempt, from 0."""
     delays = list(retry.delays())
-    numbered = "attempt" in getattr(getattr(fn, "__code__", None), "co_varnames", ())
+    numbered = _takes_attempt(fn)
     for attempt in range(len(delays) + 1):
         try:
             return fn(text, attempt=attempt) if numbered else fn(text)
@@ -61,7 +72,7 @@ def _slot(key, count: int) -> int:
     """Round-robin place of a key: whole numbers by their remainder, others by a hash of their text, null first."""
     if key is None or key != key:
         return 0
-    if isinstance(key, (int, float)):
+    if isinstance(key, (int, float)) and math.isfinite(key):
         return int(key) % count
     return zlib.crc32(str(key).encode()) % count
 
@@ -76,7 +87,10 @@ def _run_one(fns, key, text, strategy, retry, sleep, delay_s):
     last = None
     for i in order:
         try:
-            return _call_with_retry(fns[i], text, retry, sleep), None, i
+            got = _call_with_retry(fns[i], text, retry, sleep)
+            if not isinstance(got, dict):
+                raise TypeError(f"extraction returned {type(got).__name__}, not a dict")
+            return got, None, i
         except Exception as e:  # noqa: BLE001
             last = e
     return None, f"{type(last).__name__}: {last}", None
@@ -91,28 +105,36 @@ def extract_structured(df: DataFrame, text_col: str, key: str, schema: T.StructT
     ``fns``: one function or a list ``text -> dict`` (fallback order, or
     round-robin by key, so a rerun picks the same one)."""
     fns = list(fns) if isinstance(fns, (list, tuple)) else [fns]
-    key_type = df.schema[key].dataType
-    out_schema = T.StructType([T.StructField(key, key_type), T.StructField("result", schema),
+    out_schema = T.StructType([df.schema[key], T.StructField("result", schema),
                                T.StructField("error", T.StringType()), T.StructField("fn_index", T.IntegerType())])
     field_names = [f.name for f in schema.fields]
 
     def run(batches):
         with ThreadPoolExecutor(max_workers=max(1, concurrency)) as pool:
-            for pdf in batches:
-                keys, texts = pdf[key].tolist(), pdf[text_col].tolist()
+            for batch in batches:
+                # the key column itself is handed on, so no key changes on its way through Python
+                keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
                 outs = list(pool.map(lambda kt: _run_one(fns, kt[0], kt[1], strategy, retry, sleep, delay_s),
                                      zip(keys, texts)))
                 results, errors, used = [], [], []
                 for k, (res, err, idx) in zip(keys, outs):
+                    if err is None:
+                        try:
+                            res = {f: res.get(f) for f in field_names}
+                            pa.array([res], type=result_type)
+                        except (pa.ArrowException, TypeError, ValueError, OverflowError) as e:
+                            res, err, idx = None, f"{type(e).__name__}: {e}", None
                     if err is not None and on_error == "raise":
                         raise RuntimeError(f"extraction failed for {key}={k}: {err}")     # X4
-                    results.append(None if res is None else {f: res.get(f) for f in field_names})
+                    results.append(res)
                     errors.append(err)
                     used.append(idx)
-                yield pd.DataFrame({key: keys, "result": results, "error": errors,
-                                    "fn_index": pd.array(used, dtype="Int32")})
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array(results, type=result_type), pa.array(errors, type=pa.string()), pa.array(used, type=pa.int32())],
+                    names=[key, "result", "error", "fn_index"])
 
-    return df.select(key, text_col).mapInPandas(run, out_schema)
+    result_type = to_arrow_schema(T.StructType([T.StructField("result", schema)])).field(0).type
+    return df.select(key, text_col).mapInArrow(run, out_schema)
 
 
 def prompt_text(text: Column, instructions: str, output_format: str) -> Column:

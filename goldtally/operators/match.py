@@ -14,12 +14,16 @@ from .keys import KEY, drop_keyless, last_wins
 
 
 def prepare_predictions(pred: DataFrame, key: str = KEY, seq: str | None = "seq") -> DataFrame:
-    """K6 then K5: drop keyless rows, keep the last copy of each key.
-    Without a ``seq`` column predictions must already be unique per key."""
+    """K6 then K5: drop keyless rows, keep the last copy of each key by ``seq``
+    (a number, or the position that ``read_ndjson`` adds).  ``seq=None`` says
+    that predictions are unique per key already; a named column that is
+    missing is an error, as repeated keys would multiply rows."""
     pred = drop_keyless(pred, key)
-    if seq is not None and seq in pred.columns:
-        pred = last_wins(pred, key, seq).drop(seq)
-    return pred
+    if seq is None:
+        return pred
+    if seq not in pred.columns:
+        raise ValueError(f"predictions have no column {seq!r} to tell the last copy of a key; pass None if keys are unique")
+    return last_wins(pred, key, seq).drop(seq)
 
 
 def match_records(gold: DataFrame, pred: DataFrame, key: str = KEY,

@@ -11,11 +11,12 @@ import ast
 import json
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.keys import with_record_id
+from ..session import scratch_path
 
 
 def read_records(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
@@ -29,17 +30,49 @@ def read_json_array(spark: SparkSession, path: str, schema: T.StructType | str)
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
-def read_ndjson(spark: SparkSession, path: str, schema: T.StructType | str,
-                corrupt_column: str | None = None) -> DataFrame:
+def read_ndjson(spark: SparkSession, path: str | list[str], schema: T.StructType | str,
+                corrupt_column: str | None = None, position: str | None = None) -> DataFrame:
     """S3: JSON lines; blank lines are skipped.  With ``corrupt_column`` bad
-    lines are kept with their raw text (PERMISSIVE mode)."""
+    lines are kept with their raw text (PERMISSIVE mode).
+
+    With ``position`` each row also gets its place in the files as a column of
+    that name, ``STRUCT<file, block, place>`` in the order of paths, of blocks
+    within a file, and of lines within a block.  It comes from the scan's file
+    metadata, so no row moves for it; ``last_wins`` and ``match_records`` take
+    it as their ``seq`` (the last line of the last file wins)."""
     reader = spark.read.option("mode", "PERMISSIVE")
     if corrupt_column:
         if isinstance(schema, str):
             schema = T._parse_datatype_string(schema)
         schema = T.StructType(list(schema.fields) + [T.StructField(corrupt_column, T.StringType())])
         reader = reader.option("columnNameOfCorruptRecord", corrupt_column)
-    return reader.schema(schema).json(path)
+    rows = reader.schema(schema).json(path)
+    if position is None:
+        return rows
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                     # rows of a block follow each other in one task, so this rises within a block
+                     F.monotonically_increasing_id().alias("place"))
+    return rows.select("*", place.alias(position))
+
+
+def number_lines(df: DataFrame, position: str = "seq", name: str = "line") -> DataFrame:
+    """A dense 1-based number of each row within its file, from the column
+    that ``read_ndjson(position=...)`` adds.
+
+    The rows are written once to the session's scratch folder (a place is only
+    fixed within one run of the scan); rows are counted by block with partial
+    aggregates, blocks are summed up within their file, and each row takes its
+    block's offset: no window over rows, none over more than one file's blocks."""
+    path = scratch_path(df.sparkSession, "lines")
+    df.write.parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    at = F.col(position)
+    key = F.struct(at["file"].alias("file"), at["block"].alias("block"))
+    blocks = stored.groupBy(key.alias("_gt_block")).agg(F.max(at["place"]).alias("_gt_last"), F.count(F.lit(1)).alias("_gt_n"))
+    before = Window.partitionBy("_gt_block.file").orderBy("_gt_block.block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = blocks.select("_gt_block", "_gt_last", F.sum("_gt_n").over(before).alias("_gt_upto"))
+    joined = stored.withColumn("_gt_block", key).join(ends, "_gt_block")
+    return joined.select(*df.columns, (F.col("_gt_upto") - (F.col("_gt_last") - at["place"])).alias(name))
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:

@@ -21,11 +21,11 @@ from ..operators.keys import last_wins
 
 
 def start_scoring(pred_stream: DataFrame, gold: DataFrame, build_checks, outcome_path: str,
-                  checkpoint_path: str, key: str = "record_id", trigger: dict | None = None):
+                  checkpoint_path: str, key: str = "record_id", trigger: dict | None = None, pred_seq: str | None = "seq"):
     """Start the stream; ``build_checks(matched) -> list[Check]``."""
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        matched = match.match_records(gold, batch, key=key, gold_seq=None)
+        matched = match.match_records(gold, batch, key=key, gold_seq=None, pred_seq=pred_seq)
         checks = build_checks(matched)
         # within a batch K5 already kept the newest copy (match_records)
         out = score.outcomes(matched, checks, key=key).withColumn("batch_id", F.lit(batch_id))

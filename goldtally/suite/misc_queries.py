@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import fhir, keys, score, shape
+from ..operators import fhir, keys, match, score, shape
 from ..session import scratch_path
 from ..sources import io
 from . import sqlfrag as S
@@ -180,6 +180,44 @@ SQL["ndjson_roundtrip"] = " UNION ALL ".join(
     f"count(DISTINCT event_type)::BIGINT AS n_types FROM events" for f in ["ndjson", "gold", "parquet", "csv"])
 
 
+# --- S3 with K5: the position of a line in its files ------------------------------
+
+def _prediction_files(spark, sf_dir):
+    """Three versions of predictions over orders as JSON lines, each key twice in
+    a file and in several versions; read back with the place of each line."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("record_id"), F.col("o_totalprice").alias("amount"))
+    base, paths = scratch_path(spark, "prediction-files"), []
+    for version in range(3):
+        twice = orders.where(F.col("record_id") % (version + 2) != 0).withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
+        rows = twice.select("record_id", "amount", F.concat_ws("-", F.lit(version), "copy").alias("note"), "copy")
+        paths.append(f"{base}/{version}")
+        io.write_ndjson(rows.repartitionByRange("record_id").sortWithinPartitions("copy", "record_id").drop("copy"), paths[-1])
+    return io.read_ndjson(spark, paths, "record_id BIGINT, amount DOUBLE, note STRING", position="seq")
+
+
+def prediction_files(spark, sf_dir):
+    return match.prepare_predictions(_prediction_files(spark, sf_dir)).select("record_id", "amount", "note")
+
+
+SQL["prediction_files"] = """
+SELECT o_orderkey AS record_id, any_value(o_totalprice) AS amount, max(v) || '-1' AS note
+FROM (SELECT o_orderkey, o_totalprice, unnest([0, 1, 2]) AS v FROM orders) WHERE o_orderkey % (v + 2) <> 0 GROUP BY o_orderkey"""
+
+
+def line_numbers(spark, sf_dir):
+    lines = io.number_lines(_prediction_files(spark, sf_dir))
+    version = F.substring("note", 1, 1).cast("int").alias("version")
+    files = lines.groupBy(version, F.col("seq.file")).agg(F.count(F.lit(1)).alias("n"), F.min("line").alias("first"), F.max("line").alias("last"),
+                                                          F.count_distinct("line").alias("distinct"))
+    return files.groupBy("version").agg(F.sum("n").alias("n_lines"), F.max("first").alias("first_line"), F.sum("last").alias("last_lines"),
+                                        F.sum("distinct").alias("n_numbers"))
+
+
+SQL["line_numbers"] = """
+SELECT v::INT AS version, 2 * count(*) AS n_lines, 1::BIGINT AS first_line, 2 * count(*) AS last_lines, 2 * count(*) AS n_numbers
+FROM (SELECT o_orderkey, unnest([0, 1, 2]) AS v FROM orders) WHERE o_orderkey % (v + 2) <> 0 GROUP BY v"""
+
+
 # --- F11 ------------------------------------------------------------------------
 
 def display_name(spark, sf_dir):

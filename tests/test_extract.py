@@ -79,3 +79,43 @@ def test_functions_may_take_the_attempt_number(spark):
         return shaky
     out = extract.extract_structured(_docs(spark), "text", "k", SCHEMA, make(), retry=extract.CONSTANT, sleep=lambda s: None)
     assert {r["result"]["n"] for r in out.collect()} == {"2"}
+
+
+def test_long_keys_pass_unchanged(spark):
+    keys = [2**53 + 1, 2**53 + 3, None]
+    df = spark.createDataFrame([(k, "x") for k in keys], "k long, text string")
+    out = extract.extract_structured(df, "text", "k", SCHEMA, b).collect()
+    assert sorted((r["k"] for r in out), key=str) == sorted(keys, key=str)
+    df = spark.createDataFrame([(float("inf"), "x"), (float("nan"), "y"), (None, "z")], "k double, text string")
+    out = extract.extract_structured(df, "text", "k", SCHEMA, [a, b], strategy="round_robin").collect()
+    assert len(out) == 3 and all(r["error"] is None for r in out)
+
+
+def _local_attempt():
+    def fn(text):
+        attempt = text.upper()
+        return {"n": attempt}
+
+    def numbered(text, attempt):
+        if attempt < 2:
+            raise ValueError("again")
+        return {"n": str(attempt)}
+
+    def no_dict(text):
+        return "text"
+
+    def wrong_type(text):
+        return {"n": {"deep": [1]}}
+    return fn, numbered, no_dict, wrong_type
+
+
+def test_attempt_is_a_parameter_not_a_local(spark):
+    fn, numbered, no_dict, wrong_type = _local_attempt()
+    one = _docs(spark).limit(1)
+    assert extract.extract_structured(one, "text", "k", SCHEMA, fn).collect()[0]["result"]["n"].startswith("TEXT")
+    retry = extract.Retry(max_retries=2, delay_ms=1)
+    assert extract.extract_structured(one, "text", "k", SCHEMA, numbered, retry=retry).collect()[0]["result"]["n"] == "2"
+    row = extract.extract_structured(one, "text", "k", SCHEMA, no_dict).collect()[0]
+    assert row["result"] is None and row["error"] == "TypeError: extraction returned str, not a dict"
+    row = extract.extract_structured(one, "text", "k", SCHEMA, wrong_type).collect()[0]
+    assert row["result"] is None and row["error"]
