@@ -8,15 +8,23 @@ the candidate itself).  A candidate that costs nearly what its alphabet allows,
 built from its surroundings, is reported as kind ``novel``, unless a base
 span covers it.  Candidates are read to their end; one goes on over
 lines of its length and one shorter line (a shorter line alone only from 40 characters on).
+Sensitive words inside a candidate that was not reported start candidates of
+their own, each up to the next such word, so each character is measured a
+bounded number of times, however long a string is.  A candidate of letters or
+digits alone must be long (``PLAIN``), as words and plain numbers are not.
 
 Defined cases: a null text is empty and has no spans; rows stay as they
-are, repeated or with a null id; an empty table gives an empty result.
-Positions are code points, ends exclusive.  Whole texts are read.
+are, repeated or with a null id; an empty table gives an empty result; a column
+named as the result of ``scan`` makes that name longer by an underscore.
+Positions are code points, ends exclusive.  Whole texts are read, very long ones
+in time proportional to their length.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import math
 import re
 
@@ -47,6 +55,8 @@ AROUND = 2048
 #: alphabet's entropy that is enough where that is less.
 NOVELTY = 0.7
 SHARE = 0.92
+#: Length from which a candidate may be of letters or of digits alone.
+PLAIN = 32
 #: Alphabets that keys are written in, smallest first; any other candidate has all 66 characters.
 _ALPHABETS = [(len(a), re.compile(f"[{c}]+")) for a, c in (
     ("0123456789abcdef", "0-9a-f"), ("0123456789ABCDEF", "0-9A-F"), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "A-Z2-7="), ("abcdefghijklmnopqrstuvwxyz234567", "a-z2-7="),
@@ -106,15 +116,39 @@ def novel_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
     low = text.encode().lower()
     if not any(k in low for k in _HINTS):
         return []
+    words = [m.span() for m in _SENSITIVE.finditer(text)]
+    starts = [s for s, _, _ in base]
+    ends = list(itertools.accumulate((e for _, _, e in base), max))
     found, done = [], set()
-    for m in _SENSITIVE.finditer(text):
-        for s, e in candidates(text, m.end()):
-            body = text[s:e]
-            if s in done or not re.search("[0-9]", body) or not re.search("[A-Za-z]", body) or any(x <= s and e <= y for x, _, y in base):
+
+    def novel(s: int, e: int) -> bool:
+        before = bisect.bisect_right(starts, s)
+        if before and ends[before - 1] >= e:  # base spans start in order, so one that covers it has the greatest end so far
+            return False
+        body = text[s:e]
+        if len(body) < PLAIN and not (re.search("[0-9]", body) and re.search("[A-Za-z]", body)):
+            return False
+        return novelty(text, s, e) >= enough(body)
+
+    last_end, last_novel = 0, False  # the candidate that reaches furthest
+    for k, (_, after) in enumerate(words):
+        if after < last_end:
+            if last_novel:
+                continue
+            stop = min([last_end, *(s for s, _ in words[k + 1:k + 2])])
+            m = _CANDIDATE.search(text, after, stop)
+            spans = [m.span()] if m and m.start() <= after + REACH else []
+        else:
+            spans = candidates(text, after)
+        for s, e in spans:
+            if s in done:
                 continue
             done.add(s)
-            if novelty(text, s, e) >= enough(body):
+            hit = novel(s, e)
+            if hit:
                 found.append((s, 3, e))
+            if e > last_end:
+                last_end, last_novel = e, hit
     return found
 
 
@@ -127,16 +161,18 @@ def joined(spans: list[tuple[int, int, int]], kinds=KINDS) -> str:
     return ",".join(f"{kinds[k]}:{s}:{e}" for s, k, e in spans)
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """Every column of ``docs`` and ``_spans``: the spans of its text as array of (start, end, kind)."""
-    schema = docs.select("*", F.lit(None).cast("array<struct<start:int,end:int,kind:string>>").alias("_spans")).schema
+def scan(docs: DataFrame, name: str = "_spans") -> DataFrame:
+    """Every column of ``docs`` and ``name``: the spans of its text as array of (start, end, kind)."""
+    while name in docs.columns:
+        name += "_"
+    schema = docs.select("*", F.lit(None).cast("array<struct<start:int,end:int,kind:string>>").alias(name)).schema
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
     at = docs.columns.index("text")
 
     def run(batches):
         for batch in batches:
             spans = [[{"start": s, "end": e, "kind": KINDS[k]} for s, k, e in all_spans(t or "")[1]] for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(spans, kind)], names=[*batch.schema.names, "_spans"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(spans, kind)], names=[*batch.schema.names, name])
 
     return docs.mapInArrow(run, schema)
 
