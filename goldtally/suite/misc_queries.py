@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from ..operators import fhir, keys, match, score, shape
 from ..session import scratch_path
-from ..sources import io
+from ..sources import io, json_array
 from . import sqlfrag as S
 from .common import table
 
@@ -218,6 +218,28 @@ SELECT v::INT AS version, 2 * count(*) AS n_lines, 1::BIGINT AS first_line, 2 *
 FROM (SELECT o_orderkey, unnest([0, 1, 2]) AS v FROM orders) WHERE o_orderkey % (v + 2) <> 0 GROUP BY v"""
 
 
+# --- S2: JSON array files, read by many tasks --------------------------------------
+
+# braces, brackets, quotes and backslashes inside strings, where an array must not be cut
+_NOTE = 'a } b {"c": [1, 2]} \\\\ "}'
+
+
+def json_array_files(spark, sf_dir):
+    """Array files of at most 1,000 orders each, written by Spark, then scanned by blocks."""
+    orders = table(spark, sf_dir, "orders")
+    record = F.struct(F.col("o_orderkey").alias("record_id"), F.struct(F.col("o_totalprice").alias("amount"), F.concat(F.lit(_NOTE), "o_orderstatus").alias("note")).alias("detail"),
+                      F.when(F.col("o_orderkey") % 3 == 0, F.array(F.col("o_custkey"))).alias("keys"))
+    arrays = orders.groupBy(F.floor(F.col("o_orderkey") / 1000).alias("part")).agg(F.to_json(F.array_sort(F.collect_list(record))).alias("value"))
+    path = scratch_path(spark, "arrays")
+    arrays.repartition("part").write.partitionBy("part").text(path)
+    read = json_array.scan_json_array(spark, f"{path}/*/", "record_id BIGINT, detail STRUCT<amount: DOUBLE, note: STRING>, keys ARRAY<BIGINT>")
+    return read.select("record_id", "detail.amount", "detail.note", F.get("keys", F.lit(0)).alias("first_key"))
+
+
+SQL["json_array_files"] = f"""
+SELECT o_orderkey AS record_id, o_totalprice AS amount, '{_NOTE}' || o_orderstatus AS note, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey END AS first_key FROM orders"""
+
+
 # --- F11 ------------------------------------------------------------------------
 
 def display_name(spark, sf_dir):

@@ -36,7 +36,7 @@ _register(claim_queries, ["section_rules", "invented_list", "align_pairs", "reco
 from . import misc_queries  # noqa: E402
 
 _register(misc_queries, ["scores_minmax", "best_row", "methods_pivot", "record_id_slice", "row_index", "reshape",
-                         "py_literal", "ndjson_roundtrip", "display_name", "prediction_files", "line_numbers"])
+                         "py_literal", "ndjson_roundtrip", "display_name", "prediction_files", "line_numbers", "json_array_files"])
 
 from . import bundles  # noqa: E402
 
