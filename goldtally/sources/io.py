@@ -1,8 +1,8 @@
 """Record sources and sinks.
 
-Explicit schemas everywhere (no inference in production paths).  A whole-
-file JSON array can only be read by one task; ``json_array_to_lines``
-converts it once into JSON lines, which later jobs split freely.
+Explicit schemas everywhere (no inference in production paths).  Spark reads a
+whole-file JSON array by one task (``read_json_array``); ``json_array.scan_json_array``
+cuts it by blocks, and ``json_array_to_lines`` writes it as JSON lines that way.
 """
 
 from __future__ import annotations
@@ -110,9 +110,10 @@ def write_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def json_array_to_lines(spark: SparkSession, src: str, dst: str, schema) -> DataFrame:
-    """S2 once, then S5: later reads of ``dst`` are splittable."""
-    df = read_json_array(spark, src, schema)
-    write_ndjson(df, dst)
+    """S2 once, by as many tasks as the array has blocks, then S5."""
+    from .json_array import scan_json_array
+
+    write_ndjson(scan_json_array(spark, src, schema), dst)
     return read_ndjson(spark, dst, schema)
 
 

@@ -41,7 +41,7 @@ _register(misc_queries, ["scores_minmax", "best_row", "methods_pivot", "record_i
 from . import bundles  # noqa: E402
 
 _register(bundles, ["bundle_practitioners"])
-_register(bundles, ["bundle_fields", "bundle_lists"])
+_register(bundles, ["bundle_fields", "bundle_lists", "bundle_file_gold"])
 
 from . import extraction  # noqa: E402
 
