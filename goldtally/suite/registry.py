@@ -16,7 +16,7 @@ def _register(module, names):
 
 
 _register(scoring, ["scorecard_exact", "scorecard_overall", "match_coverage",
-                    "mismatch_first10", "category_rollup"])
+                    "mismatch_first10", "category_rollup", "pii_report"])
 
 from . import rule_queries  # noqa: E402
 

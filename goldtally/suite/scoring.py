@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import match, score
 from ..plans.comparison import exact_checks
+from ..plans.schemas import PII_FIELDS
 from .common import SQL_CUSTOMER, customer_gold, customer_pred, sql_pct, table
 
 
@@ -44,6 +45,7 @@ def _category(field):
 
 def category_rollup(spark, sf_dir):
     out, checks = _scored(spark, sf_dir)
+    out = score.stored_outcomes(out)
     card = score.scorecard(out, checks)
     mism = score.first_mismatches(out, checks)
     lines = score.report_lines(card, mism)
@@ -52,6 +54,29 @@ def category_rollup(spark, sf_dir):
             .select("category", "field", "matches", "total", "percentage", "line"))
 
 
+def _pii(spark, sf_dir):
+    """T4 with all of its 56 string fields over customers: nulls on either side,
+    altered and invented values in every field, missing predictions."""
+    k = F.col("c_custkey")
+    cust = table(spark, sf_dir, "customer").select(k)
+    gold = {f: F.when((k + i) % 5 != 0, F.concat(F.lit(f"{f}-"), (k * (i + 1)).cast("string"))) for i, f in enumerate(PII_FIELDS)}
+    pred = {f: F.when((k + 3 * i) % 59 == 0, F.lit(None)).when((k + 2 * i) % 61 == 0, F.concat(F.coalesce(gold[f], F.lit("")), F.lit("x"))).otherwise(gold[f])
+            for i, f in enumerate(PII_FIELDS)}
+    return (cust.select(k.alias("record_id"), k.alias("seq"), *[c.alias(f) for f, c in gold.items()]),
+            cust.where(k % 13 != 0).select(k.alias("record_id"), F.lit(1).alias("seq"), *[c.alias(f) for f, c in pred.items()]))
+
+
+def pii_report(spark, sf_dir):
+    """The whole report of T4: a line for each field (A5), then the totals (A6), from one stored outcome table."""
+    matched = match.match_records(*_pii(spark, sf_dir))
+    checks = exact_checks(matched)
+    out = score.stored_outcomes(score.outcomes(matched, checks))
+    card = score.scorecard(out, checks)
+    lines = score.report_lines(card, score.first_mismatches(out, checks)).select(F.lit("field").alias("kind"), "field", "line")
+    totals = score.summary_lines(card).select(F.posexplode("lines").alias("at", "line"))
+    return lines.unionByName(totals.select(F.lit("summary").alias("kind"), F.col("at").cast("string").alias("field"), "line"))
+
+
 SQL = {
     "scorecard_exact": f"""WITH {SQL_CUSTOMER}
 SELECT field, matches, total, {sql_pct('matches', 'total')} AS percentage FROM card""",
@@ -91,3 +116,17 @@ lines AS (SELECT c.field,
           FROM card c LEFT JOIN mism m ON c.field = m.field)
 SELECT r.category, r.field, r.matches, r.total, {sql_pct('r.matches', 'r.total')} AS percentage, l.line
 FROM rolled r LEFT JOIN lines l ON r.field = l.field"""
+
+
+SQL["pii_report"] = f"""
+WITH names AS (SELECT unnest({PII_FIELDS}) AS field, unnest(range(56)) AS i),
+gold AS (SELECT c_custkey AS k, field, i, CASE WHEN (c_custkey + i) % 5 <> 0 THEN field || '-' || (c_custkey * (i + 1)) END AS g FROM customer, names WHERE c_custkey % 13 <> 0),
+cells AS (SELECT k, field, g IS NOT DISTINCT FROM CASE WHEN (k + 3 * i) % 59 = 0 THEN NULL WHEN (k + 2 * i) % 61 = 0 THEN coalesce(g, '') || 'x' ELSE g END AS ok FROM gold),
+card AS (SELECT field, count(*) FILTER (WHERE ok) AS m, count(*) AS t FROM cells GROUP BY field),
+mism AS (SELECT field, string_agg(k::VARCHAR, ', ' ORDER BY k) AS ids FROM (SELECT *, row_number() OVER (PARTITION BY field ORDER BY k) AS rn FROM cells WHERE NOT ok) WHERE rn <= 10 GROUP BY field),
+tot AS (SELECT sum(m)::BIGINT AS m, sum(t)::BIGINT AS t, count(*) AS n FROM card)
+SELECT 'field' AS kind, c.field, '  ' || c.field || ' -> ' || c.m || '/' || c.t || ' (' || printf('%.1f', {sql_pct('c.m', 'c.t')}) || '%)'
+  || CASE WHEN ids IS NOT NULL THEN ' [mismatches: [' || ids || ']]' ELSE '' END AS line FROM card c LEFT JOIN mism USING (field)
+UNION ALL SELECT 'summary', i::VARCHAR, CASE WHEN n = 0 THEN 'No evaluation results found.' ELSE
+  ['=== Overall Statistics ===', 'Total Fields Evaluated: ' || t, 'Total Matches: ' || m, 'Overall Accuracy: ' || printf('%.1f', {sql_pct('m', 't')}) || '%'][i + 1] END
+FROM tot, range(4) AS r(i) WHERE n > 0 OR i = 0"""
