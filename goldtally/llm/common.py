@@ -29,6 +29,14 @@ def crc_mod(column: str, n: int):
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % n, F.lit(0))
 
 
+def free_name(name: str, columns: list[str]) -> str:
+    """``name``, made longer by underscores until no column has it (in any case, as Spark compares names)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def slices(batches, rows: int):
     """Arrow batches in parts of at most ``rows`` rows, so that few values are Python objects at a time."""
     for batch in batches:

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import free_name, stored, table
 
 HOST_RATE = 0.5
 #: Rejected hosts up to this number are broadcast (a host name and no more); beyond it the join shuffles.
@@ -107,16 +107,14 @@ def judged(docs: DataFrame, host_col: str = "source", text_col: str = "text", ke
            host_rate: float = HOST_RATE) -> tuple[DataFrame, str]:
     """``docs`` (columns ``keep`` or all) with one struct column of measures and verdicts, and that column's name."""
     keep = keep or docs.columns
-    name = "_quality"
-    while name in docs.columns:
-        name += "_"
+    name, host, bad = (free_name(c, docs.columns) for c in ("_quality", "_host", "_bad"))
     measured = docs.withColumn(name, measures(F.col(text_col))).select(*dict.fromkeys([*keep, host_col]), name)
     flagged = stored(_flags(measured, name), "quality")
     hosts = rejected_hosts(flagged, name, host_col, host_rate)
-    hosts = stored(hosts.select(F.col(host_col).alias("_host"), F.lit(True).alias("_bad")), "hosts")
+    hosts = stored(hosts.select(F.col(host_col).alias(host), F.lit(True).alias(bad)), "hosts")
     few = hosts.count() <= BROADCAST_HOSTS
-    joined = flagged.join(F.broadcast(hosts) if few else hosts, F.col(host_col).eqNullSafe(F.col("_host")), "left")
-    host_bad = F.coalesce(F.col("_bad"), F.lit(False))
+    joined = flagged.join(F.broadcast(hosts) if few else hosts, F.col(host_col).eqNullSafe(F.col(host)), "left")
+    host_bad = F.coalesce(F.col(bad), F.lit(False))
     q = F.col(name)
     out = joined.withColumn(name, q.withField("host_rejected", host_bad).withField("kept", ~q["base_failed"] & ~(host_bad & q["soft_failed"])))
     return out.select(*keep, name), name

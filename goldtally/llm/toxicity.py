@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, table
+from .common import crc_mod, free_name, table
 
 WIDTH = 48
 STEP = 24
@@ -268,7 +268,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> BiGru | N
 
 
 def scored(docs: DataFrame, model: BiGru | None, column: str = "score") -> DataFrame:
-    """``docs`` with a double column of scores."""
+    """``docs`` with a double column of scores; where ``docs`` has a column of that name, the new one's is longer by underscores."""
+    column = free_name(column, docs.columns)
     at = docs.columns.index("text")
     schema = docs.select("*", F.lit(0.0).alias(column)).schema
 
