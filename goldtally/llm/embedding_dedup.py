@@ -14,10 +14,11 @@ only, so links are counted without ever writing pairs; a list also writes, for
 each linked member, the smallest member it is linked to there through others.
 Lists longer than ``BLOCK`` are compared in pairs of blocks, each a task of its own.
 
-Equal vectors are one class, entered once with its number of copies.
+Equal vectors are one class, entered once with its number of copies.  Vectors
+of different lengths have no cosine; each length has an index of its own.
 
-Defined cases: vectors that are null, zero, hold null or non-finite
-components, or whose length is not the commonest one, link with nothing;
+Defined cases: vectors that are null, zero or hold null or non-finite
+components link with nothing;
 a null id takes part but names no component unless all ids there are null;
 repeated rows are copies; labels and other columns are ignored; an empty table
 gives an empty result.
@@ -25,6 +26,7 @@ gives an empty result.
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -163,20 +165,10 @@ def _verify(threshold: float):
     return run
 
 
-def embedding_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """vec_id, n_links, component_id, kept for every row."""
-    spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(vec_col).cast("array<double>").alias("vec"))
-    dim = rows.filter("vec is not null").groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    usable = (F.size("vec") == (dim["d"] if dim else 0)) & (F.size("vec") > 0) & F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0)
-    keyed = rows.withColumn("key", F.when(F.coalesce(usable, F.lit(False)), F.unhex(F.md5(F.to_json(F.struct(F.transform("vec", lambda x: x + 0.0).alias("v"))).cast("binary")))))
-    keyed = stored(keyed, "vectors")
-    classes = stored(keyed.filter("key is not null").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("vec").alias("vec")), "classes")
-    n = classes.count()
+def _list_links(classes: DataFrame, n: int, threshold: float) -> DataFrame:
+    """(key, root, n) of the ``n`` classes of one length: what each list of the index finds of each member."""
     most = min(PIVOTS, max(16, math.ceil(2 * math.sqrt(n))))
     sample = classes.orderBy(F.xxhash64("key"), "key").limit(LOOKED_AT * most).select("vec").toArrow()
-    if not sample.num_rows:
-        return keyed.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     pivots = separated(_matrix(sample.column("vec").combine_chunks()), most, threshold)
     entered = classes.select("key", "copies", "vec").mapInArrow(_enter(pivots), "pivot int, key binary, copies long, vec array<double>, near array<int>")
     entered = stored(entered, "inverted")
@@ -186,7 +178,21 @@ def embedding_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str
     dealt = entered.withColumn("many", many.cast("int")).withColumn("part", F.pmod(F.xxhash64("key"), F.col("many")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("many") - 1)))
     dealt = dealt.withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other"))
-    partial = stored(dealt.groupBy("pivot", "i", "j").applyInArrow(_verify(threshold), "key binary, root binary, n long"), "partial")
+    return stored(dealt.groupBy("pivot", "i", "j").applyInArrow(_verify(threshold), "key binary, root binary, n long"), "partial")
+
+
+def embedding_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """vec_id, n_links, component_id, kept for every row."""
+    rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(vec_col).cast("array<double>").alias("vec"))
+    usable = (F.size("vec") > 0) & F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0)
+    keyed = rows.withColumn("key", F.when(F.coalesce(usable, F.lit(False)), F.unhex(F.md5(F.to_json(F.struct(F.transform("vec", lambda x: x + 0.0).alias("v"))).cast("binary")))))
+    keyed = stored(keyed, "vectors")
+    classes = stored(keyed.filter("key is not null").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("vec").alias("vec")), "classes")
+    lengths = [(r.d, r["count"]) for r in classes.groupBy(F.size("vec").alias("d")).count().orderBy("d").collect()]  # as many as there are lengths
+    if not lengths:
+        return keyed.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    found = [_list_links(classes if len(lengths) == 1 else classes.filter(F.size("vec") == d), n, threshold) for d, n in lengths if n > 1 or len(lengths) == 1]
+    partial = functools.reduce(DataFrame.union, found) if found else keyed.sparkSession.createDataFrame([], "key binary, root binary, n long")
     counts = partial.groupBy("key").agg(F.sum("n").alias("n"))
     roots = stored(components(partial.select(F.col("key").alias("a"), F.col("root").alias("b"))), "roots")
     named = classes.select("key", "rep").join(roots.withColumnRenamed("node", "key"), "key")

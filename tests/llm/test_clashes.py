@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from goldtally.llm import components, near_dedup, packing, quality_rules, secret_scan, toxicity
+from goldtally.llm import components, embedding_dedup, near_dedup, packing, quality_rules, secret_scan, toxicity
 from goldtally.llm.common import free_name
 
 EXTRA = ["_bad", "_host", "_quality", "_spans", "score", "_score", "_row", "key", "sig", "n", "row", "_hash", "node", "piece", "start", "length"]
@@ -73,3 +73,16 @@ def test_shared_workers_pack_alike(docs):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     assert sorted(map(repr, packing.pieces(docs, path, shared=True).collect())) == sorted(map(repr, packing.pieces(docs, path).collect()))
+
+
+def test_vectors_of_every_length_link_with_their_own(spark):
+    rng = np.random.default_rng(8)
+    long_ones = rng.normal(size=(30, 8))
+    rows = [(k, v.tolist()) for k, v in enumerate(long_ones)] + [(100 + k, (v * 3).tolist()) for k, v in enumerate(long_ones[:5])]
+    rows += [(200, [1.0, 2.0]), (201, [2.0, 4.0]), (202, [-1.0, 2.0]), (203, [5.0]), (204, []), (205, None), (206, [0.0, 0.0]), (207, [1.0, None])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.embedding_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    unit = {k: np.array(v) / np.linalg.norm(v) for k, v in rows if v and None not in v and any(v)}
+    for k, _ in rows:
+        links = [j for j in unit if k in unit and j != k and len(unit[j]) == len(unit[k]) and unit[j] @ unit[k] >= 0.9]
+        assert got[k][0] == len(links)
+    assert got[201] == (1, 200) and got[202] == (0, 202) and got[203] == (0, 203) and got[100][1] == 0
