@@ -1,27 +1,31 @@
 """Operator 2: near duplicates among embeddings by a pivot-permutation index.
 
-Reference points ("pivots") are a bounded sample of the vectors, ``PIVOTS`` of
+Reference points ("pivots") are chosen from a bounded sample of the vectors, ``PIVOTS`` of
 them at most and else about twice the square root of their number.  No two
 pivots are closer than a cosine bound below the threshold, so that a group of
 near vectors owns few of them, however many rows it has.  The bound is the
 least of ``BOUNDS`` at which half of the wanted pivots are found.
-Each distinct vector is described by its ``NEAREST`` nearest pivots in order, and is
-entered in those pivots' inverted lists; the nearest one is its home.  All
-members of a list are compared by cosine in double precision, except members of
-one home in another pivot's list, which meet at home.
-A pair of one home counts at home, any other in the list of its smallest shared pivot
-only, so links are counted without ever writing pairs; a list also writes, for
-each linked member, the smallest member it is linked to there through others.
-Lists longer than ``BLOCK`` are compared in pairs of blocks, each a task of its own.
+Each distinct vector is described by its ``NEAREST`` nearest pivots in order, and this
+permutation, without the vector, is entered in those pivots' inverted lists.
+
+Retrieval: in each list the pivots that two members share are counted, and pairs
+with ``SHARED`` of them or more are candidates.  A pair belongs to the list of its
+smallest shared pivot only, so links are counted without ever writing pairs: a list
+writes its members that have a candidate.  Lists longer than ``BLOCK`` are
+counted in pairs of blocks, each a task of its own.
+Verification: vectors are joined to those members alone, and each list compares
+its candidates by cosine in double precision.  It writes each member's number of
+links and the smallest member that it is linked to there through others.
 
 Equal vectors are one class, entered once with its number of copies.  Vectors
 of different lengths have no cosine; each length has an index of its own.
+The index is approximate: links found among planted groups are in the README.
 
 Defined cases: vectors that are null, zero or hold null or non-finite
 components link with nothing;
 a null id takes part but names no component unless all ids there are null;
-repeated rows are copies; labels and other columns are ignored; an empty table
-gives an empty result.
+repeated rows are copies; equally near pivots may come in either order; labels
+and other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,12 +37,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
-from .common import stored, table
+from .common import slices, stored, table
 from .components import components
 
-PIVOTS = 16_384
+PIVOTS = 65_536
 NEAREST = 8
+#: Pivots that a candidate pair shares.
+SHARED = 3
 BLOCK = 4096
 #: Cosines that two pivots may have at most, and how many vectors are looked at for each wanted pivot.
 BOUNDS = (0.5, 0.6, 0.7, 0.8)
@@ -81,20 +88,18 @@ def separated(sample: np.ndarray, most: int, threshold: float) -> np.ndarray:
     return unit[chosen]
 
 
-def _enter(unit: np.ndarray):
-    """One row for each of a vector's nearest pivots."""
+def _describe(unit: np.ndarray):
+    """Each vector's nearest pivots in order."""
     k = min(NEAREST, len(unit))
 
     def run(batches):
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 2048):
-                part = batch.slice(lo, 2048)
+        for part in slices(batches, max(1, 4_000_000 // len(unit))):
+            if part.num_rows:
                 sims = _unit(_matrix(part.column("vec"))) @ unit.T
-                near = np.argsort(-sims, axis=1, kind="stable")[:, :k].astype(np.int32)
-                rows = pa.array(np.repeat(np.arange(len(near)), k))
-                order = pa.FixedSizeListArray.from_arrays(pa.array(near.ravel()), k).cast(pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([pa.array(near.ravel()), part.column("key").take(rows), part.column("copies").take(rows), part.column("vec").take(rows), order.take(rows)],
-                                                 names=["pivot", "key", "copies", "vec", "near"])
+                some = np.argpartition(-sims, k - 1, axis=1)[:, :k]
+                order = np.argsort(-np.take_along_axis(sims, some, 1), axis=1, kind="stable")
+                near = pa.array(np.take_along_axis(some, order, 1).astype(np.int32).ravel())
+                yield pa.RecordBatch.from_arrays([part.column("key"), pa.FixedSizeListArray.from_arrays(near, k).cast(pa.list_(pa.int32()))], names=["key", "near"])
 
     return run
 
@@ -115,49 +120,67 @@ def _roots(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new[root]
 
 
+def _rows_by_pivot(near: np.ndarray) -> dict[int, np.ndarray]:
+    order = np.argsort(near, axis=None, kind="stable")
+    values, starts = np.unique(near.ravel()[order], return_index=True)
+    return dict(zip(values.tolist(), np.split(order // near.shape[1], starts[1:])))
+
+
+def candidates(pivot: int, a: np.ndarray, b: np.ndarray, need: int) -> np.ndarray:
+    """Which rows of ``a`` and ``b`` (permutations in the list of ``pivot``) share ``need`` pivots, none before ``pivot``."""
+    shared = np.zeros((len(a), len(b)), dtype=np.int8)
+    of_a, of_b = _rows_by_pivot(a), _rows_by_pivot(b)
+    for p in of_a.keys() & of_b.keys():
+        u, v = of_a[p], of_b[p]
+        step = np.int8(1 if p >= pivot else -NEAREST - 1)  # with one earlier pivot the sum stays below zero
+        if 8 * len(u) * len(v) > shared.size:
+            in_a, in_b = np.zeros(len(a), dtype=np.int8), np.zeros(len(b), dtype=np.int8)
+            in_a[u], in_b[v] = step, 1
+            shared += in_a[:, None] * in_b
+        else:
+            shared[np.ix_(u, v)] += step
+    return shared >= need
+
+
+def _sides(group: pa.Table, i: int, j: int):
+    """A block pair's rows: places of the one side and of the other, and all permutations."""
+    part = group.column("part").to_numpy()
+    near = group.column("near").combine_chunks().flatten().to_numpy().reshape(group.num_rows, -1)
+    return np.flatnonzero(part == i), np.flatnonzero(part == j), near
+
+
+def _retrieve(key, group):
+    """The members of a list, or of two of its blocks, that have a candidate there."""
+    pivot, i, j = (x.as_py() for x in key)
+    a, b, near = _sides(group, i, j)
+    pairs = candidates(pivot, near[a], near[b], min(SHARED, near.shape[1]))
+    if i == j:
+        np.fill_diagonal(pairs, False)
+    rows = np.unique(np.concatenate([a[pairs.any(1)], b[pairs.any(0)]]))
+    return group.select(["pivot", "i", "j", "part", "key", "near"]).take(pa.array(rows))
+
+
 def _verify(threshold: float):
     def run(key, group):
         pivot, i, j = (x.as_py() for x in key)
-        near = group.column("near").combine_chunks().flatten().to_numpy().reshape(group.num_rows, -1)
-        by_home = group.append_column("home", pa.array(near[:, 0]))
-        group = by_home.sort_by([("part", "ascending"), ("home", "ascending"), ("key", "ascending")])
-        part, home = group.column("part").to_numpy(), group.column("home").to_numpy()
-        x = _unit(_matrix(group.column("vec").combine_chunks()))
-        near = group.column("near").combine_chunks().flatten().to_numpy().reshape(len(x), -1)
-        copies = group.column("copies").to_numpy()
-        cut = len(x) if i == j else int((part == i).sum())
+        a, b, near = _sides(group, i, j)
+        pairs = candidates(pivot, near[a], near[b], min(SHARED, near.shape[1]))
+        if i == j:
+            pairs = np.triu(pairs, 1)
+        x, copies = _unit(_matrix(group.column("vec").combine_chunks())), group.column("copies").to_numpy()
         n_links, root = np.zeros(len(x), dtype=np.int64), np.arange(len(x))
-
-        def compare(lo, hi, first, last, one_home):
-            """Links of rows lo to hi with rows first to last."""
-            nonlocal root
-            good = x[lo:hi] @ x[first:last].T >= threshold
-            if one_home:
-                if lo == first:
-                    good &= np.arange(hi - lo)[:, None] < np.arange(last - first)
-            else:
-                a, b = np.nonzero(good)
-                for s in range(0, len(a), 100_000):
-                    u, v = a[s:s + 100_000], b[s:s + 100_000]
-                    p, q = near[u + lo], near[v + first]
-                    least = np.where((p[:, :, None] == q[:, None, :]).any(2), p, np.iinfo(np.int32).max).min(1)
-                    good[u, v] = least == pivot
-            n_links[lo:hi] += good @ copies[first:last]
-            n_links[first:last] += copies[lo:hi] @ good
-            a, b = np.nonzero(good)
-            root = _roots(root, a + lo, b + first)
-
-        edges = np.flatnonzero(np.r_[True, home[1:cut] != home[:cut - 1], True]) if cut else np.zeros(1, dtype=np.int64)
-        for start, stop in zip(edges[:-1].tolist(), edges[1:].tolist()):
-            same = (stop, stop) if i == j else tuple((cut + np.searchsorted(home[cut:], home[start], side) for side in ("left", "right")))
-            for lo in range(start, stop, 512):
-                hi = min(stop, lo + 512)
-                if home[start] == pivot:
-                    compare(lo, hi, *((lo, stop) if i == j else same), True)
-                if i != j and same[0] > cut:
-                    compare(lo, hi, cut, same[0], False)
-                if same[1] < len(x):
-                    compare(lo, hi, same[1], len(x), False)
+        for lo in range(0, len(a), 512):
+            some, left = pairs[lo:lo + 512], a[lo:lo + 512]
+            u, v = np.nonzero(some)
+            if 64 * len(u) > some.size:
+                u, v = np.nonzero((x[left] @ x[b].T >= threshold) & some)
+            elif len(u):
+                good = np.concatenate([np.einsum("ij,ij->i", x[left[u[s:s + 4096]]], x[b[v[s:s + 4096]]]) for s in range(0, len(u), 4096)]) >= threshold
+                u, v = u[good], v[good]
+            u, v = left[u], b[v]
+            np.add.at(n_links, u, copies[v])
+            np.add.at(n_links, v, copies[u])
+            root = _roots(root, u, v)
         rows = np.flatnonzero(n_links)
         keys = group.column("key")
         return pa.table([keys.take(pa.array(rows)), keys.take(pa.array(root[rows])), pa.array(n_links[rows])], names=["key", "root", "n"])
@@ -165,25 +188,37 @@ def _verify(threshold: float):
     return run
 
 
+def _sample(classes: DataFrame, n: int, most: int) -> np.ndarray:
+    """The vectors of the ``most`` least hashes; tasks send little more than that together."""
+    hashed = classes.select(F.xxhash64("key").alias("h"), "key", "vec")
+    share = (most + 5 * math.sqrt(most)) / n  # five deviations more than wanted
+    if share < 1:
+        hashed = hashed.filter(F.col("h") < int(share * 2.0 ** 64) - 2 ** 63)
+    rows = hashed.toArrow().sort_by([("h", "ascending"), ("key", "ascending")])
+    return _matrix(rows.slice(0, most).column("vec").combine_chunks())
+
+
 def _list_links(classes: DataFrame, n: int, threshold: float) -> DataFrame:
     """(key, root, n) of the ``n`` classes of one length: what each list of the index finds of each member."""
     most = min(PIVOTS, max(16, math.ceil(2 * math.sqrt(n))))
-    sample = classes.orderBy(F.xxhash64("key"), "key").limit(LOOKED_AT * most).select("vec").toArrow()
-    pivots = separated(_matrix(sample.column("vec").combine_chunks()), most, threshold)
-    entered = classes.select("key", "copies", "vec").mapInArrow(_enter(pivots), "pivot int, key binary, copies long, vec array<double>, near array<int>")
-    entered = stored(entered, "inverted")
+    pivots = separated(_sample(classes, n, LOOKED_AT * most), most, threshold)
+    described = stored(classes.select("key", "vec").mapInArrow(_describe(pivots), "key binary, near array<int>"), "described")
+    entered = described.select(F.explode("near").alias("pivot"), "key", "near")
     # lists in blocks: members of a block meet each other and the members of every other block of the list
     blocks = {r.pivot: -(-r["count"] // BLOCK) for r in entered.groupBy("pivot").count().filter(f"count > {BLOCK}").collect()}  # PIVOTS rows at most
     many = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in blocks.items() for x in kv)), F.col("pivot")), F.lit(1)) if blocks else F.lit(1)
     dealt = entered.withColumn("many", many.cast("int")).withColumn("part", F.pmod(F.xxhash64("key"), F.col("many")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("many") - 1)))
-    dealt = dealt.withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other"))
-    return stored(dealt.groupBy("pivot", "i", "j").applyInArrow(_verify(threshold), "key binary, root binary, n long"), "partial")
+    dealt = dealt.select("pivot", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "key", "near")
+    found = dealt.groupBy("pivot", "i", "j").applyInArrow(_retrieve, "pivot int, i int, j int, part int, key binary, near array<int>")
+    found = stored(found, "retrieved").join(classes.select("key", "copies", "vec"), "key")
+    return stored(found.groupBy("pivot", "i", "j").applyInArrow(_verify(threshold), "key binary, root binary, n long"), "partial")
 
 
 def embedding_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id, kept for every row."""
-    rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(vec_col).cast("array<double>").alias("vec"))
+    kind = "array<float>" if vectors.schema[vec_col].dataType == ArrayType(FloatType(), vectors.schema[vec_col].dataType.containsNull) else "array<double>"
+    rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(vec_col).cast(kind).alias("vec"))
     usable = (F.size("vec") > 0) & F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0)
     keyed = rows.withColumn("key", F.when(F.coalesce(usable, F.lit(False)), F.unhex(F.md5(F.to_json(F.struct(F.transform("vec", lambda x: x + 0.0).alias("v"))).cast("binary")))))
     keyed = stored(keyed, "vectors")
