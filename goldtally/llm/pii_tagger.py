@@ -1,41 +1,46 @@
 """Operator 8: personal data, by patterns and by a character BiLSTM-CRF.
 
 Base patterns find e-mail addresses, IP addresses, card and phone numbers.
-Their spans in a bounded sample of windows (``SAMPLE`` windows, least
-hash first) are the labels from which a character-level bidirectional LSTM with
-CRF transitions is trained in numpy.  All texts are cut into windows of ``WIDTH``
-characters that overlap by half; Viterbi decoding tags each, and spans are
-reconciled over the whole text: a span counts in the window where it lies most
-central, longer spans win over shorter ones that they overlap, and base spans
-stay as they are.
-
-A span must hold a digit or an at sign; this is part of the definition.
-A window without either can therefore not yield a span and is not
-decoded, which changes no result.
+Their spans are the labels from which a character-level bidirectional LSTM with
+CRF transitions is trained in numpy, on a bounded sample: ``SAMPLE`` windows of
+``LEARN`` characters with the least hashes, half of them from the windows that
+touch a base span and half from the others, repeated windows once.
+
+Every text is cut whole into windows of ``WIDTH`` characters that overlap by
+``OVERLAP``, and Viterbi decoding tags each.  Readings are reconciled over the
+whole text: a character takes its tag from the window where it lies most
+central, and a span is a begin tag with the inside tags that follow, over as many
+windows as it needs.  Base spans stay as they are; the model adds those of its
+spans that overlap none.
 
 Defined cases: a null text is empty and has no spans; rows stay as they
 are, repeated or with a null id; other columns are ignored; an empty table
-gives an empty result; with no window to learn from, the model adds no span.
+gives an empty result; where no window touches a base span, the model adds no
+span.  Long texts take time and memory in proportion to their length.  Base
+spans of different kinds may overlap; equal starts are listed in the order of the kinds.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import slices, table
 
 KINDS = ("email", "ip", "card", "phone")
-WIDTH = 96
-STEP = 48
+LEARN = 96
+WIDTH = 256
+OVERLAP = 64
 SAMPLE = 2000
 HIDDEN = 16
 EMBED = 12
+BATCH = 512
 CHARS = 130  # ASCII, any other character, and the edge of the text
 TAGS = 1 + 2 * len(KINDS)  # outside; begin and inside of each kind
 
@@ -81,28 +86,25 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(spans)
 
 
-def windows(text: str):
-    """Starts of the windows that hold a digit or an at sign, out of all windows over the text."""
-    marks = np.array([m.start() for m in _MARK.finditer(text)], dtype=np.int64)
-    if not len(marks):
-        return []
-    last = max(0, -(-(len(text) - WIDTH) // STEP))
-    k = np.unique(np.concatenate([np.minimum(marks // STEP, last), np.minimum(np.maximum(marks // STEP - 1, 0), last)]))
-    starts = k * STEP
-    return [int(s) for s in starts if _MARK.search(text, int(s), int(s) + WIDTH)]
-
-
-def codes(part: str) -> np.ndarray:
-    out = np.full(WIDTH, CHARS - 1, dtype=np.int64)
+def codes(part: str, width: int = LEARN) -> np.ndarray:
+    """Character codes, filled up to ``width`` with the code of the text's edge."""
     raw = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    out = np.full(max(width, len(raw)), CHARS - 1, dtype=np.uint8)
     out[:len(raw)] = np.minimum(raw, CHARS - 2)
     return out
 
 
+def windows(text: str) -> np.ndarray:
+    """Codes of all windows over the text, one row each."""
+    step = WIDTH - OVERLAP
+    n = 1 + max(0, -(-(len(text) - WIDTH) // step))
+    return np.lib.stride_tricks.sliding_window_view(codes(text, (n - 1) * step + WIDTH), WIDTH)[::step]
+
+
 def tags(start: int, spans: list[tuple[int, int, int]]) -> np.ndarray:
-    out = np.zeros(WIDTH, dtype=np.int64)
+    out = np.zeros(LEARN, dtype=np.int64)
     for s, k, e in spans:
-        a, b = max(0, s - start), min(WIDTH, e - start)
+        a, b = max(0, s - start), min(LEARN, e - start)
         if a < b and not out[a:b].any():
             out[a:b] = 2 + 2 * k
             if s >= start:
@@ -198,18 +200,7 @@ class BiLstmCrf:
         return (norm.sum() - path) / size, {k: v / size for k, v in total.items()}
 
     def viterbi(self, batch: np.ndarray) -> np.ndarray:
-        emit, _ = self.scores(batch)
-        steps, size = emit.shape[:2]
-        best, came = emit[0], np.empty((steps, size, TAGS), dtype=np.int8)
-        for t in range(1, steps):
-            every = best[:, :, None] + self.w["move"]
-            came[t] = every.argmax(1)
-            best = every.max(1) + emit[t]
-        out = np.empty((size, steps), dtype=np.int64)
-        out[:, -1] = best.argmax(1)
-        for t in range(steps - 1, 0, -1):
-            out[:, t - 1] = came[t, np.arange(size), out[:, t]]
-        return out
+        return _best_paths(self.scores(batch)[0], self.w["move"])
 
     def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 5, rate: float = 0.01, size: int = 32) -> float:
         """Adam over shuffled mini-batches; returns the last epoch's mean loss."""
@@ -235,70 +226,172 @@ def _logsum(x, axis):
     return np.log(np.exp(x - top).sum(axis)) + top.squeeze(axis)
 
 
-def _sample(batches):
-    """Every window that may be learnt from, as codes and tags."""
-    for batch in batches:
-        x, y = [], []
+def _best_paths(emit: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """(B, T) tags of the best path for (T, B, TAGS) scores."""
+    steps, size = emit.shape[:2]
+    best, came = emit[0], np.empty((steps, size, TAGS), dtype=np.int8)
+    for t in range(1, steps):
+        every = best[:, :, None] + move
+        came[t] = every.argmax(1)
+        best = every.max(1) + emit[t]
+    out = np.empty((size, steps), dtype=np.int64)
+    out[:, -1] = best.argmax(1)
+    for t in range(steps - 1, 0, -1):
+        out[:, t - 1] = came[t, np.arange(size), out[:, t]]
+    return out
+
+
+class Decoder:
+    """The trained model in single precision, for windows of codes.
+
+    Both directions run side by side.  A window whose best path is outside throughout is known without the
+    Viterbi recursion by an exact bound: ``lift`` moves scores between a path's steps
+    (they cancel along the path) so that no tag reaches "outside" better than "outside"
+    itself does; if then no step gains by any other tag, the path is the best.
+    """
+
+    def __init__(self, w: dict):
+        half = np.r_[np.full(3 * HIDDEN, 0.5), np.ones(HIDDEN)]  # sigmoid(x) = (tanh(x / 2) + 1) / 2
+        # the state holds 2 h, the embedding and a one, in this order
+        self.into = np.stack([(np.vstack([w[f"h{d}"] / 2, w[f"x{d}"], w[f"c{d}"]]) * half).T for d in "fb"]).astype(np.float32)
+        self.embed = np.hstack([w["embed"], np.ones((CHARS, 1))]).astype(np.float32)
+        self.out = np.ascontiguousarray(w["out"].T / 2, dtype=np.float32)
+        self.bias, self.move = w["bias"].astype(np.float32), w["move"].astype(np.float32)
+        self.lift = np.minimum(0, self.move[0, 0] - self.move[:, 0])
+        self.lift[0] = 0
+        self.gain = (self.move + self.lift[:, None] - self.lift).max(0) - self.move[0, 0]
+
+    def scores(self, batch: np.ndarray) -> np.ndarray:
+        """(T, B, TAGS) emission scores for (B, T) codes; windows lie along the last axis inside, so that numpy's loops are long."""
+        size, steps = batch.shape
+        x = np.ascontiguousarray(self.embed[batch].transpose(1, 2, 0))
+        both = np.empty((2, steps, HIDDEN, size), dtype=np.float32)
+        state, c = np.zeros((2, HIDDEN + EMBED + 1, size), dtype=np.float32), np.zeros((2, HIDDEN, size), dtype=np.float32)
+        for t in range(steps):
+            state[0, HIDDEN:], state[1, HIDDEN:] = x[t], x[steps - 1 - t]
+            z = self.into @ state
+            np.tanh(z, out=z)
+            z[:, :3 * HIDDEN] += 1
+            c *= z[:, :HIDDEN]
+            c += z[:, HIDDEN:2 * HIDDEN] * z[:, 3 * HIDDEN:]
+            c *= np.float32(0.5)
+            np.multiply(z[:, 2 * HIDDEN:3 * HIDDEN], np.tanh(c), out=state[:, :HIDDEN])
+            both[0, t], both[1, steps - 1 - t] = state[:, :HIDDEN]
+        emit = self.out[:, :HIDDEN] @ both[0]
+        emit += self.out[:, HIDDEN:] @ both[1]
+        return emit.transpose(0, 2, 1) + self.bias
+
+    def paths(self, batch: np.ndarray) -> np.ndarray:
+        emit = self.scores(batch)
+        other = (emit[..., 1:] + self.gain[1:]).max(2)
+        other[0] = (emit[0, :, 1:] - self.lift[1:]).max(1)
+        open_ = np.flatnonzero((other >= emit[..., 0]).any(0))
+        out = np.zeros(batch.shape, dtype=np.uint8)
+        if len(open_):
+            out[open_] = _best_paths(emit[:, open_], self.move)
+        return out
+
+
+def _learnable(text: str):
+    """Base spans, and for each window to learn from whether it touches one."""
+    spans = base_spans(text)
+    touched = np.zeros(1 + max(0, -(-(len(text) - LEARN) // (LEARN // 2))), dtype=bool)
+    for s, _, e in spans:
+        touched[max(0, (s - LEARN) // (LEARN // 2) + 1):(e - 1) // (LEARN // 2) + 1] = True
+    return spans, touched
+
+
+def _count(batches):
+    for batch in slices(batches, 256):
+        n = np.zeros(2, dtype=np.int64)
         for text in batch.column(0).to_pylist():
-            if text and _MARK.search(text):
-                spans = base_spans(text)
-                for s in windows(text):
-                    x.append(codes(text[s:s + WIDTH]).astype(np.uint8).tobytes())
-                    y.append(tags(s, spans).astype(np.uint8).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), pa.array(y, pa.binary())], names=["x", "y"])
+            if text:
+                n += np.bincount(_learnable(text)[1], minlength=2)
+        yield pa.RecordBatch.from_arrays([pa.array(n[:1]), pa.array(n[1:])], names=["clean", "touched"])
+
+
+def _least(bounds: tuple[int, int]):
+    """The windows of both sorts whose crc32 is under the sort's bound, as codes and tags."""
+
+    def run(batches):
+        for batch in slices(batches, 256):
+            rows = []
+            for text in batch.column(0).to_pylist():
+                if text:
+                    spans, touched = _learnable(text)
+                    raw = codes(text).tobytes()
+                    for k, sort in enumerate(touched.tolist()):
+                        start = k * (LEARN // 2)
+                        x = raw[start:start + LEARN]
+                        if zlib.crc32(x) < bounds[sort]:
+                            rows.append((sort, x.ljust(LEARN, bytes([CHARS - 1])), tags(start, spans).astype(np.uint8).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.bool_(), pa.binary(), pa.binary()))], names=["touched", "x", "y"])
+
+    return run
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> dict | None:
-    """Weights learnt from ``sample`` windows with the least hashes; None where there is no window."""
-    rows = docs.select("text").mapInArrow(_sample, "x binary, y binary").orderBy(F.xxhash64("x"), "x").limit(sample).collect()
-    if not rows:
+    """Weights learnt from ``sample`` windows, half of them with base spans; None where there is no span.
+
+    Windows are counted first, so that tasks together send little more than the sample."""
+    text = docs.select("text")
+    n = text.mapInArrow(_count, "clean long, touched long").agg(F.sum("clean"), F.sum("touched")).first()
+    if not n[1]:
         return None
-    x, y = (np.frombuffer(b"".join(bytes(r[k]) for r in rows), dtype=np.uint8).reshape(-1, WIDTH).astype(np.int64) for k in ("x", "y"))
+    bounds = tuple(min(2 ** 32, int(2 ** 32 * (sample / 2 + 4 * sample ** 0.5) / max(1, k or 0))) for k in n)
+    rows = text.mapInArrow(_least(bounds), "touched boolean, x binary, y binary").groupBy("touched", "x").agg(F.min("y").alias("y")).collect()
+    rows = sorted(((r.touched, zlib.crc32(bytes(r.x)), bytes(r.x), bytes(r.y)) for r in rows))
+    rows = [r for sort in (False, True) for r in [r for r in rows if r[0] == sort][:sample // 2]]
+    x, y = (np.frombuffer(b"".join(r[k] for r in rows), dtype=np.uint8).reshape(-1, LEARN).astype(np.int64) for k in (2, 3))
     model = BiLstmCrf()
     model.fit(x, y)
     return model.w
 
 
-def decoded(paths: np.ndarray, starts: list[int], text: str) -> list[tuple[int, int, int]]:
-    """Spans of one text from its windows' tag paths, reconciled over the whole text."""
-    found = []
-    for path, start in zip(paths, starts):
-        n, t = min(WIDTH, len(text) - start), 0
-        while t < n:
-            if path[t] % 2 == 1:
-                kind, e = (path[t] - 1) // 2, t + 1
-                while e < n and path[e] == path[t] + 1:
-                    e += 1
-                whole = (t > 0 or start == 0) and (e < n or start + n == len(text))
-                if whole and e - t >= 6 and _MARK.search(text, start + t, start + e):
-                    off = abs((t + e) / 2 - n / 2)
-                    found.append((off, start + t, int(kind), start + e))
-                t = e
-            else:
-                t += 1
-    # the most central reading of a span first, then longer before shorter
-    best: dict[tuple[int, int], tuple[float, int]] = {}
-    for off, s, k, e in found:
-        if (s, e) not in best or off < best[s, e][0]:
-            best[s, e] = (off, k)
-    taken = []
-    for (s, e), (_, k) in sorted(best.items(), key=lambda z: (z[0][0] - z[0][1], z[0][0])):
-        if all(e <= a or b <= s for a, _, b in taken):
-            taken.append((s, k, e))
-    return sorted(taken)
-
-
-def tagged(texts: list[str], model: BiLstmCrf | None):
+def reconciled(paths: np.ndarray, length: int) -> np.ndarray:
+    """A text's tags from its windows' paths: each character's from the window where it lies most central."""
+    edge, step = OVERLAP // 2, WIDTH - OVERLAP
+    return np.concatenate([paths[0, :edge], paths[:, edge:edge + step].ravel(), paths[-1, edge + step:]])[:length]
+
+
+def tag_spans(path: np.ndarray) -> list[tuple[int, int, int]]:
+    """(start, kind number, end) of each begin tag with the inside tags that follow it."""
+    before = np.r_[0, path[:-1]]
+    goes_on = (path > 0) & (path % 2 == 0) & ((before == path) | (before + 1 == path))
+    starts, stops = np.flatnonzero(path % 2 == 1), np.r_[np.flatnonzero(~goes_on), len(path)]
+    ends = stops[np.searchsorted(stops, starts, "right")]
+    return list(zip(starts.tolist(), ((path[starts].astype(np.int64) - 1) // 2).tolist(), ends.tolist()))
+
+
+def with_base(base: list[tuple[int, int, int]], own: list[tuple[int, int, int]], length: int) -> list[tuple[int, int, int]]:
+    """Base spans and those of the model's that overlap none of them."""
+    if not own:
+        return base
+    edges = np.zeros(length + 1, dtype=np.int64)
+    for s, _, e in base:
+        edges[s] += 1
+        edges[e] -= 1
+    covered = np.r_[0, np.cumsum(np.cumsum(edges) > 0)]
+    return sorted(base + [(s, k, e) for s, k, e in own if covered[s] == covered[e]])
+
+
+def tagged(texts: list[str], model: Decoder | None):
     """For each text its base spans and all spans."""
-    starts = [windows(t) if model else [] for t in texts]
-    flat = [codes(t[s:s + WIDTH]) for t, ss in zip(texts, starts) for s in ss]
-    paths = np.concatenate([model.viterbi(np.array(flat[lo:lo + 1024])) for lo in range(0, len(flat), 1024)]) if flat else np.zeros((0, WIDTH))
-    at = 0
-    for text, ss in zip(texts, starts):
-        base = base_spans(text)
-        own = decoded(paths[at:at + len(ss)], ss, text) if ss else []
-        at += len(ss)
-        yield base, sorted(base + [x for x in own if all(x[2] <= a or b <= x[0] for a, _, b in base)])
+    for lo in range(0, len(texts), 128):
+        part = texts[lo:lo + 128]
+        cut = [windows(t) if model and t else None for t in part]
+        flat = [w for w in cut if w is not None]
+        paths = [np.zeros((0, WIDTH), dtype=np.uint8)]
+        if flat:
+            every = np.concatenate(flat)
+            paths += [model.paths(every[at:at + BATCH]) for at in range(0, len(every), BATCH)]
+        paths, at = np.concatenate(paths), 0
+        for text, w in zip(part, cut):
+            base, own = base_spans(text), []
+            if w is not None:
+                own = tag_spans(reconciled(paths[at:at + len(w)], len(text)))
+                at += len(w)
+            yield base, with_base(base, own, len(text))
 
 
 def joined(spans) -> str:
@@ -309,8 +402,8 @@ def personal_data(docs: DataFrame, weights: dict | None) -> DataFrame:
     """doc_id, counts of base kinds, base digest and all spans of every row."""
 
     def run(batches):
-        model = BiLstmCrf(weights=weights) if weights else None
-        for batch in batches:
+        model = Decoder(weights) if weights else None
+        for batch in slices(batches, 256):
             rows = [[], [], [], [], [], []]
             for base, spans in tagged([t or "" for t in batch.column(1).to_pylist()], model):
                 kinds = [k for _, k, _ in base]

@@ -1,9 +1,11 @@
 """Single steps of operators against plain forms of them."""
 
+import itertools
+
 import numpy as np
 import pytest
 
-from goldtally.llm import embedding_dedup
+from goldtally.llm import embedding_dedup, pii_tagger
 
 
 @pytest.mark.parametrize("pivots,spread", [(9, 9), (40, 40), (40, 10)])
@@ -29,3 +31,60 @@ def test_lists_in_blocks_give_the_same_links(spark, monkeypatch):
     assert {r.vec_id: tuple(r) for r in embedding_dedup.embedding_duplicates(df).collect()} == whole
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     assert sum(r[1] for r in whole.values()) >= 0.99 * ((unit @ unit.T >= 0.9).sum() - 600)
+
+
+def test_best_paths_against_all_paths():
+    rng = np.random.default_rng(5)
+    emit, move = rng.normal(size=(4, 6, pii_tagger.TAGS)), rng.normal(size=(pii_tagger.TAGS,) * 2)
+    got = pii_tagger._best_paths(emit, move)
+    for b in range(6):
+        score = lambda p: sum(emit[t, b, k] for t, k in enumerate(p)) + sum(move[j, k] for j, k in zip(p, p[1:]))
+        assert tuple(got[b]) == max(itertools.product(range(pii_tagger.TAGS), repeat=4), key=score)
+
+
+@pytest.mark.parametrize("outside", [0, 1.5, 3, 6])
+def test_decoder_equals_the_model(outside):
+    rng = np.random.default_rng(6)
+    model = pii_tagger.BiLstmCrf()
+    model.w["move"] = rng.normal(0, 0.7, model.w["move"].shape)
+    model.w["out"] *= 4
+    model.w["bias"][0] = outside
+    batch = rng.integers(0, pii_tagger.CHARS, (80, pii_tagger.WIDTH)).astype(np.uint8)
+    decoder = pii_tagger.Decoder(model.w)
+    assert np.allclose(decoder.scores(batch), model.scores(batch)[0], atol=1e-4)
+    got, want = decoder.paths(batch), model.viterbi(batch)
+    assert (got == want).mean() > 0.9999
+    if outside == 6:
+        assert not want.all(1).any() and (got[~want.any(1)] == 0).all()
+
+
+@pytest.mark.parametrize("length", [1, 255, 256, 257, 448, 449, 5000])
+def test_windows_are_reconciled_over_whole_texts(length):
+    text = "".join(chr(33 + k % 90) for k in range(length))
+    w = pii_tagger.windows(text)
+    assert (pii_tagger.reconciled(w, length) == pii_tagger.codes(text, length)).all()
+
+
+def test_spans_of_tags():
+    rng = np.random.default_rng(9)
+    for _ in range(200):
+        path = rng.choice([0, 0, 1, 2, 2, 2, 3, 4, 4], 30).astype(np.uint8)
+        want = []
+        for t in range(30):
+            if path[t] % 2:
+                e = t + 1
+                while e < 30 and path[e] == path[t] + 1:
+                    e += 1
+                want.append((t, int(path[t]) // 2, e))
+        assert pii_tagger.tag_spans(path) == want
+    base = [(2, 0, 6), (4, 1, 9)]
+    own = [(0, 0, 2), (1, 0, 3), (7, 1, 8), (9, 3, 12), (20, 3, 30)]
+    assert pii_tagger.with_base(base, own, 30) == sorted(base + [own[0], own[3], own[4]])
+
+
+def test_windows_to_learn_from():
+    text = "x" * 1000 + " bob@mail.example.com " + "y" * 300
+    spans, touched = pii_tagger._learnable(text)
+    half = pii_tagger.LEARN // 2
+    want = [any(s < k * half + pii_tagger.LEARN and e > k * half for s, _, e in spans) for k in range(len(touched))]
+    assert touched.tolist() == want and any(want) and (len(touched) - 1) * half + pii_tagger.LEARN >= len(text)
