@@ -36,7 +36,7 @@ from .common import slices, table
 KINDS = ("email", "ip", "card", "phone")
 LEARN = 96
 WIDTH = 256
-OVERLAP = 64
+OVERLAP = 32
 SAMPLE = 2000
 HIDDEN = 16
 EMBED = 12
