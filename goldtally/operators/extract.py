@@ -16,13 +16,14 @@ from __future__ import annotations
 
 import inspect
 import math
+import threading
 import time
 import zlib
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -96,26 +97,57 @@ def _run_one(fns, key, text, strategy, retry, sleep, delay_s):
     return None, f"{type(last).__name__}: {last}", None
 
 
+class _Flight:
+    """Calls in flight in one task, and the most there were."""
+
+    def __init__(self):
+        self.lock, self.now, self.peak = threading.Lock(), 0, 0
+
+    def __enter__(self):
+        with self.lock:
+            self.now += 1
+            self.peak = max(self.peak, self.now)
+
+    def __exit__(self, *exc):
+        with self.lock:
+            self.now -= 1
+
+
+_FLIGHT = "_gt_in_flight"
+
+
 def extract_structured(df: DataFrame, text_col: str, key: str, schema: T.StructType, fns,
                        concurrency: int = 20, delay_s: float = 0.0, on_error: str = "record",
                        retry: Retry = Retry(), strategy: str = "fallback",
-                       sleep=time.sleep) -> DataFrame:
+                       sleep=time.sleep, observe: Observation | None = None) -> DataFrame:
     """``key, result STRUCT<schema>, error STRING, fn_index INT``.
 
     ``fns``: one function or a list ``text -> dict`` (fallback order, or
-    round-robin by key, so a rerun picks the same one)."""
+    round-robin by key, so a rerun picks the same one).
+
+    ``observe`` (X2) collects, when the result is first run, ``n_rows``,
+    ``n_errors`` and ``peak_in_task``, the most calls that one task had in
+    flight; the cluster never has more than tasks at a time x ``peak_in_task``."""
     fns = list(fns) if isinstance(fns, (list, tuple)) else [fns]
     out_schema = T.StructType([df.schema[key], T.StructField("result", schema),
                                T.StructField("error", T.StringType()), T.StructField("fn_index", T.IntegerType())])
+    if observe is not None:
+        out_schema = T.StructType(out_schema.fields + [T.StructField(_FLIGHT, T.IntegerType())])
     field_names = [f.name for f in schema.fields]
+    names = out_schema.names
 
     def run(batches):
+        flight = _Flight()
+
+        def call(keyed):
+            with flight:
+                return _run_one(fns, keyed[0], keyed[1], strategy, retry, sleep, delay_s)
+
         with ThreadPoolExecutor(max_workers=max(1, concurrency)) as pool:
             for batch in batches:
                 # the key column itself is handed on, so no key changes on its way through Python
                 keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                outs = list(pool.map(lambda kt: _run_one(fns, kt[0], kt[1], strategy, retry, sleep, delay_s),
-                                     zip(keys, texts)))
+                outs = list(pool.map(call, zip(keys, texts)))
                 results, errors, used = [], [], []
                 for k, (res, err, idx) in zip(keys, outs):
                     if err is None:
@@ -129,12 +161,16 @@ def extract_structured(df: DataFrame, text_col: str, key: str, schema: T.StructT
                     results.append(res)
                     errors.append(err)
                     used.append(idx)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(results, type=result_type), pa.array(errors, type=pa.string()), pa.array(used, type=pa.int32())],
-                    names=[key, "result", "error", "fn_index"])
+                peaks = pa.array([flight.peak] * len(keys), type=pa.int32())
+                columns = [batch.column(0), pa.array(results, type=result_type), pa.array(errors, type=pa.string()), pa.array(used, type=pa.int32()), peaks]
+                yield pa.RecordBatch.from_arrays(columns[:len(names)], names=names)
 
     result_type = to_arrow_schema(T.StructType([T.StructField("result", schema)])).field(0).type
-    return df.select(key, text_col).mapInArrow(run, out_schema)
+    out = df.select(key, text_col).mapInArrow(run, out_schema)
+    if observe is None:
+        return out
+    return out.observe(observe, F.count(F.lit(1)).alias("n_rows"), F.count("error").alias("n_errors"),
+                       F.max(_FLIGHT).alias("peak_in_task")).drop(_FLIGHT)
 
 
 def prompt_text(text: Column, instructions: str, output_format: str) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
@@ -102,3 +102,51 @@ def fetch(df: DataFrame, ids, key: str = KEY) -> DataFrame:
     if isinstance(ids, (list, tuple, set)):
         return df.where(F.col(key).isin(list(ids)))
     return df.where(F.col(key) == ids)
+
+
+# --- K2 and K7 on a stored key -----------------------------------------------------
+
+_BOUNDS = "_key_bounds"
+
+
+def store_by_key(df: DataFrame, path: str, key: str = KEY, num_partitions: int | None = None) -> None:
+    """Write records in ranges of their key, with the key bounds of each file.
+
+    Rows are range-partitioned on the key (rows of one key beyond a partition's
+    share are split by their place in the input, so a hot key does not fill one
+    task), sorted, and written; one row a file with its least and greatest key
+    lies beside them in a hidden folder.  A null key is kept and in no slice."""
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = F.monotonically_increasing_id()
+    laid_out = df.withColumn("_gt_place", place).repartitionByRange(n, F.col(key), F.col("_gt_place"))
+    laid_out.sortWithinPartitions(key).drop("_gt_place").write.parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    bounds = stored.groupBy(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file")).agg(
+        F.min(key).alias("lo"), F.max(key).alias("hi"))
+    bounds.coalesce(1).write.parquet(f"{path.rstrip('/')}/{_BOUNDS}")
+
+
+def _files_with(spark: SparkSession, path: str, cond: Column) -> DataFrame:
+    """The stored records in files whose bounds meet ``cond`` (one small row a file is looked at)."""
+    base = path.rstrip("/")
+    bounds = spark.read.parquet(f"{base}/{_BOUNDS}")
+    files = [f"{base}/{r['file']}" for r in bounds.where(cond).select("file").toLocalIterator()]
+    schema = spark.read.parquet(base).schema
+    return spark.read.schema(schema).parquet(*files) if files else spark.createDataFrame([], schema)
+
+
+def read_slice(spark: SparkSession, path: str, start: int, end: int | None = None, key: str = KEY) -> DataFrame:
+    """K2 on records stored by ``store_by_key``: only files that can hold the slice are read."""
+    cond = F.col("hi") >= start
+    if end is not None:
+        cond = cond & (F.col("lo") <= end)
+    return slice_records(_files_with(spark, path, cond), start, end, key=key)
+
+
+def read_records_by_key(spark: SparkSession, path: str, ids, key: str = KEY) -> DataFrame:
+    """K7 on records stored by ``store_by_key``: one id or a list of them, as ``fetch``."""
+    wanted = sorted(ids) if isinstance(ids, (list, tuple, set)) else [ids]
+    if not wanted:
+        return _files_with(spark, path, F.lit(False))
+    some = F.exists(F.array(*[F.lit(i) for i in wanted]), lambda i: (i >= F.col("lo")) & (i <= F.col("hi")))
+    return fetch(_files_with(spark, path, some), wanted, key)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import ast
 import json
+import uuid
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -142,9 +143,40 @@ def parse_py_literal(c: Column, schema: T.DataType | str) -> Column:
     return F.from_json(py_literal_to_json(c), schema)
 
 
-def materialize_gold(df: DataFrame, path: str, refresh: bool = False, fmt: str = "json") -> None:
-    """Write gold if absent (``ignore``) or on request (``overwrite``)."""
-    write_gold(df, path, fmt=fmt, mode="overwrite" if refresh else "ignore")
+def materialize_gold(df: DataFrame, path: str, refresh: bool = False, fmt: str = "json") -> bool:
+    """Build gold if it is absent, or again on request; whether it was built.
+
+    Gold is written to a staging folder beside ``path`` and moved there when
+    whole, so a job that fails half-way leaves ``path`` as it was, and a reader
+    never meets half a table.  Gold is there if its ``_SUCCESS`` mark is; what
+    lies at ``path`` without the mark (an old, broken write) is replaced.  Of two
+    builders at once, one publishes; the other drops its copy and returns false
+    (with ``refresh``: the later one stays)."""
+    context = df.sparkSession.sparkContext
+    hadoop = context._jvm.org.apache.hadoop.fs.Path
+    target, token = hadoop(path), uuid.uuid4().hex
+    fs = target.getFileSystem(context._jsc.hadoopConfiguration())
+    built = lambda: fs.exists(hadoop(target, "_SUCCESS"))
+    if built() and not refresh:
+        return False
+    beside = lambda kind: hadoop(target.getParent(), f"_{target.getName()}-{kind}-{token}")
+    staged, replaced = beside("staging"), beside("replaced")
+    try:
+        write_gold(df, staged.toString(), fmt=fmt, mode="error")
+        if fs.exists(target):
+            if built() and not refresh:
+                return False
+            fs.rename(target, replaced)
+        if not fs.rename(staged, target):
+            raise OSError(f"gold could not be moved to {path}")
+        nested = hadoop(target, staged.getName())
+        if fs.exists(nested):   # another builder published in between: a move into a folder that exists goes below it
+            fs.delete(nested, True)
+            return False
+        return True
+    finally:
+        for left in (staged, replaced):
+            fs.delete(left, True)
 
 
 def gold_with_key(df: DataFrame, order_by: list, columns: list[str], key: str = "record_id") -> DataFrame:

@@ -48,3 +48,8 @@ from . import extraction  # noqa: E402
 _register(extraction, ["extract_patterns", "extract_structured", "prompt_text", "schema_violations",
                        "assertions"])
 _register(bundles, ["patient_scorecard"])
+
+from . import output_queries  # noqa: E402
+
+_register(output_queries, ["claim_type_failures", "indexed_assertions", "claim_violations", "extract_round_robin",
+                           "stored_records", "nested_counts", "financial_lists"])
