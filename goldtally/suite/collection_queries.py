@@ -66,7 +66,7 @@ def financial_scorecard(spark, sf_dir):
         k.alias("record_id"), F.when(k % 5 == 0, F.slice(words, 1, 1)).otherwise(words).alias("company"),
         F.when(k % 7 == 0, F.split(F.lower("p_type"), " ")).otherwise(kinds).alias("product"),
         F.when(k % 4 == 0, F.lit(None)).when(k % 9 == 0, F.array("p_brand", "p_brand", F.lit("x")))
-        .otherwise(F.array("p_brand")).alias("brand"))
+        .otherwise(F.array("p_brand")).alias("brand"), F.lit(1).alias("seq"))
     matched = match.match_records(gold, pred, gold_seq=None)
     checks = patient.financial_checks(matched)
     return score.scorecard(score.outcomes(matched, checks), checks)
