@@ -63,7 +63,7 @@ def number_lines(df: DataFrame, position: str = "seq", name: str = "line") -> Da
     The rows are written once to the session's scratch folder (a place is only
     fixed within one run of the scan); rows are counted by block with partial
     aggregates, blocks are summed up within their file, and each row takes its
-    block's offset: no window over rows, none over more than one file's blocks."""
+    block's offset: no window over rows, none over more than one file's blocks, and no row moves."""
     path = scratch_path(df.sparkSession, "lines")
     df.write.parquet(path)
     stored = df.sparkSession.read.schema(df.schema).parquet(path)
@@ -72,7 +72,7 @@ def number_lines(df: DataFrame, position: str = "seq", name: str = "line") -> Da
     blocks = stored.groupBy(key.alias("_gt_block")).agg(F.max(at["place"]).alias("_gt_last"), F.count(F.lit(1)).alias("_gt_n"))
     before = Window.partitionBy("_gt_block.file").orderBy("_gt_block.block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ends = blocks.select("_gt_block", "_gt_last", F.sum("_gt_n").over(before).alias("_gt_upto"))
-    joined = stored.withColumn("_gt_block", key).join(ends, "_gt_block")
+    joined = stored.withColumn("_gt_block", key).join(F.broadcast(ends), "_gt_block")     # one small row a block
     return joined.select(*df.columns, (F.col("_gt_upto") - (F.col("_gt_last") - at["place"])).alias(name))
 
 
