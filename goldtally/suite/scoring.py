@@ -54,11 +54,16 @@ def category_rollup(spark, sf_dir):
             .select("category", "field", "matches", "total", "percentage", "line"))
 
 
+PII_ROWS_PER_TASK = 20_000
+
+
 def _pii(spark, sf_dir):
     """T4 with all of its 56 string fields over customers: nulls on either side,
     altered and invented values in every field, missing predictions."""
     k = F.col("c_custkey")
     cust = table(spark, sf_dir, "customer").select(k)
+    # a key becomes a row of 56 texts: so few keys a task that these rows fit it, whatever the files are cut like
+    cust = cust.repartition(-(-cust.count() // PII_ROWS_PER_TASK) or 1)
     gold = {f: F.when((k + i) % 5 != 0, F.concat(F.lit(f"{f}-"), (k * (i + 1)).cast("string"))) for i, f in enumerate(PII_FIELDS)}
     pred = {f: F.when((k + 3 * i) % 59 == 0, F.lit(None)).when((k + 2 * i) % 61 == 0, F.concat(F.coalesce(gold[f], F.lit("")), F.lit("x"))).otherwise(gold[f])
             for i, f in enumerate(PII_FIELDS)}
