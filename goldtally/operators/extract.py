@@ -117,6 +117,13 @@ _FLIGHT = "_gt_in_flight"
 CALL_ROWS = 200     # texts, calls and results held as Python objects at a time, whatever Arrow's batch size
 
 
+def _slices(batches, rows: int = CALL_ROWS):
+    """The same rows in record batches of at most ``rows``."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def extract_structured(df: DataFrame, text_col: str, key: str, schema: T.StructType, fns,
                        concurrency: int = 20, delay_s: float = 0.0, on_error: str = "record",
                        retry: Retry = Retry(), strategy: str = "fallback",
@@ -145,7 +152,7 @@ def extract_structured(df: DataFrame, text_col: str, key: str, schema: T.StructT
                 return _run_one(fns, keyed[0], keyed[1], strategy, retry, sleep, delay_s)
 
         with ThreadPoolExecutor(max_workers=max(1, concurrency)) as pool:
-            for batch in (b.slice(at, CALL_ROWS) for b in batches for at in range(0, b.num_rows, CALL_ROWS)):
+            for batch in _slices(batches):
                 # the key column itself is handed on, so no key changes on its way through Python
                 keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
                 outs = list(pool.map(call, zip(keys, texts)))

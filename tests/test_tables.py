@@ -1,9 +1,13 @@
 """Queries over small tables made here, against their SQL in DuckDB."""
 
 import duckdb
+import pyarrow as pa
 import pytest
 
 import __spark_entry__ as entry
+from goldtally.operators import extract, score
+from goldtally.sources import io
+from goldtally.suite import bundles, claims, scoring
 
 
 def _rows(columns, rows):
@@ -37,3 +41,60 @@ PART = """SELECT k::BIGINT AS p_partkey, 'blue ' || (k % 9) || ' red' AS p_name,
 def test_financial_scorecard(spark, tmp_path, rows):
     store(tmp_path, "part", rows)
     assert len(check(spark, tmp_path, "financial_scorecard")) == 3
+
+
+ORDERS = """SELECT k::BIGINT AS o_orderkey, k * 1.5 AS o_totalprice FROM range(1, 1500) t(k)"""
+LINES = """SELECT (k // 3)::BIGINT AS l_orderkey, (k % 4)::INT AS l_linenumber, (k % 60 + 1)::BIGINT AS l_partkey, k::BIGINT AS l_suppkey,
+                  (k % 50)::DOUBLE AS l_quantity, DATE '1995-01-01' + (k % 700)::INT AS l_shipdate FROM range(1, 400) t(k)"""
+
+
+def test_line_numbers(spark, tmp_path):
+    store(tmp_path, "orders", ORDERS)
+    assert len(check(spark, tmp_path, "line_numbers")) == 3
+
+
+def test_numbered_lines_do_not_move(spark, tmp_path):
+    (tmp_path / "a.json").write_text("".join(f'{{"v": {i}}}\n' for i in range(50)))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = io.number_lines(io.read_ndjson(spark, str(tmp_path), "v INT", position="seq"))
+        assert "SortMergeJoin" not in lines._jdf.queryExecution().executedPlan().toString()
+        assert [(r["v"], r["line"]) for r in lines.orderBy("v").collect()] == [(i, i + 1) for i in range(50)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_pii_rows_are_spread(spark, tmp_path):
+    """One file of keys in one group of rows becomes wide rows in several tasks."""
+    store(tmp_path, "customer", "SELECT k::BIGINT AS c_custkey FROM range(1, 50001) t(k)")
+    gold, pred = scoring._pii(spark, str(tmp_path))
+    assert gold.rdd.getNumPartitions() >= 3 and pred.rdd.getNumPartitions() >= 3
+
+
+def test_bundle_lists_join_once(spark, tmp_path):
+    store(tmp_path, "part", PART)
+    store(tmp_path, "lineitem", LINES)
+    assert bundles.list_entries(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 2
+    assert len(check(spark, tmp_path, "bundle_lists")) == 2 * 399
+
+
+def test_claim_lines_move_without_objects(spark):
+    plan = claims._objects(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    grouped = plan[plan.index("Aggregate"):]
+    assert "OBJ-" in plan and "OBJ-" not in grouped
+
+
+def test_texts_are_taken_in_small_slices():
+    batches = [pa.RecordBatch.from_pydict({"k": list(range(n))}) for n in (450, 0, 3)]
+    got = list(extract._slices(batches, 200))
+    assert [b.num_rows for b in got] == [200, 200, 50, 3]
+    assert [k for b in got for k in b.column(0).to_pylist()] == [*range(450), *range(3)]
+
+
+def test_patient_outcomes_are_stored(spark, monkeypatch):
+    """Card and mismatches come from one stored table of outcomes."""
+    stored = []
+    monkeypatch.setattr(score, "stored_outcomes", lambda out: stored.append(out) or out)
+    bundles.patient_scorecard(spark, "/root/testdata/sf0.001")
+    assert len(stored) == 1
