@@ -40,17 +40,19 @@ OVERLAP = 32
 SAMPLE = 2000
 HIDDEN = 16
 EMBED = 12
-BATCH = 512
+BATCH = 768  # windows scored at a time
+BLOCK = 384  # windows side by side in one product of matrices
 CHARS = 130  # ASCII, any other character, and the edge of the text
 TAGS = 1 + 2 * len(KINDS)  # outside; begin and inside of each kind
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+# every address and card number lies in one of these, as whole as it is in the text
+_DIGITS = re.compile(r"[0-9](?:[\x20.-]?[0-9])+")
 # a digit before the start is impossible for a leftmost match; saying so keeps long digit runs linear
 _IP = re.compile(r"(?<![0-9])([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_MARK = re.compile("[0-9@]")
 
 
 def _luhn(digits: str) -> bool:
@@ -63,8 +65,6 @@ def _luhn(digits: str) -> bool:
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind number, end) of the base kinds, sorted."""
-    if not _MARK.search(text):
-        return []
     spans, last, at = [], 0, text.find("@")
     while at >= 0:
         start = at
@@ -75,11 +75,14 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
             spans.append((start, 0, m.end()))
             last = m.end()
         at = text.find("@", at + 1)
-    spans += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.groups())]
-    for m in _CARD.finditer(text):
-        digits = re.sub("[^0-9]", "", m[0])
-        if 12 <= len(digits) <= 19 and _luhn(digits):
-            spans.append((m.start(), 2, m.end()))
+    for run in _DIGITS.finditer(text):
+        if run.end() - run.start() < 7:
+            continue
+        spans += [(m.start(), 1, m.end()) for m in _IP.finditer(text, *run.span()) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.groups())]
+        for m in _CARD.finditer(text, *run.span()):
+            digits = re.sub("[^0-9]", "", m[0])
+            if 12 <= len(digits) <= 19 and _luhn(digits):
+                spans.append((m.start(), 2, m.end()))
     for m in _PHONE.finditer(text):
         if 9 <= sum(c in "0123456789" for c in m[0]) <= 15:
             spans.append((m.start(), 3, m.end()))
@@ -229,25 +232,16 @@ def _logsum(x, axis):
 def _best_paths(emit: np.ndarray, move: np.ndarray) -> np.ndarray:
     """(B, T) tags of the best path for (T, B, TAGS) scores."""
     steps, size = emit.shape[:2]
-    best, came = emit[0], np.empty((steps, size, TAGS), dtype=np.int8)
+    best = np.ascontiguousarray(emit.transpose(0, 2, 1))
     for t in range(1, steps):
-        every = best[:, :, None] + move
-        came[t] = every.argmax(1)
-        best = every.max(1) + emit[t]
+        best[t] += (best[t - 1][:, None] + move[:, :, None]).max(0)
     out = np.empty((size, steps), dtype=np.int64)
-    out[:, -1] = best.argmax(1)
+    out[:, -1] = best[-1].argmax(0)
     for t in range(steps - 1, 0, -1):
-        out[:, t - 1] = came[t, np.arange(size), out[:, t]]
+        out[:, t - 1] = (best[t - 1] + move[:, out[:, t]]).argmax(0)
     return out
 
 
-def _sigmoid_of_negative(x: np.ndarray) -> None:
-    """sigmoid(-x), in place."""
-    np.exp(x, out=x)
-    x += 1
-    np.reciprocal(x, out=x)
-
-
 class Decoder:
     """The trained model in single precision, for windows of codes.
 
@@ -258,53 +252,91 @@ class Decoder:
     """
 
     def __init__(self, w: dict):
-        # sigmoid(x) = 1 / (1 + exp(-x)) and tanh(x) = 2 sigmoid(2 x) - 1, as numpy's exp is far faster than its tanh
-        sign = np.r_[np.full(3 * HIDDEN, -1.0), np.full(HIDDEN, -2.0)]
-        # the state holds h, the embedding and a one, in this order
-        self.into = np.stack([(np.vstack([w[f"h{d}"], w[f"x{d}"], w[f"c{d}"]]) * sign).T for d in "fb"]).astype(np.float32)
-        self.embed = np.hstack([w["embed"], np.ones((CHARS, 1))]).astype(np.float32)
-        self.out = np.ascontiguousarray(w["out"].T, dtype=np.float32)
-        self.bias, self.move = w["bias"].astype(np.float32), w["move"].astype(np.float32)
+        # sigmoid(x) = (1 + tanh(x / 2)) / 2, and the state holds 2 h, the embedding and a one, in this order;
+        # the product has the candidate, the three gates, and what the h of the step before adds to its scores
+        into = []
+        for d, out, bias in zip("fb", np.split(w["out"], 2), (w["bias"], np.zeros(TAGS))):
+            gates = np.vstack([w[f"h{d}"] / 2, w[f"x{d}"], w[f"c{d}"]]).T
+            into.append(np.vstack([gates[3 * HIDDEN:], gates[:3 * HIDDEN] / 2, np.hstack([out.T / 2, np.zeros((TAGS, EMBED)), bias[:, None]])]))
+        self.into = np.stack(into)[:, None].astype(np.float32)
+        self.embed = w["embed"].astype(np.float32)
+        self.move = w["move"].astype(np.float32)
         self.lift = np.minimum(0, self.move[0, 0] - self.move[:, 0])
         self.lift[0] = 0
         self.gain = (self.move + self.lift[:, None] - self.lift).max(0) - self.move[0, 0]
+        self.room = np.empty(0, dtype=np.float32)
+
+    def _emissions(self, batch: np.ndarray) -> np.ndarray:
+        """(T, blocks, TAGS, block) scores, good until the next call; windows lie along the last axis, so that numpy's loops are long."""
+        (size, steps), parts = batch.shape, -(-len(batch) // BLOCK)
+        block = -(-size // parts)
+        code = np.zeros((parts * block, steps), dtype=np.uint8)
+        code[:size] = batch
+        code = np.ascontiguousarray(code.reshape(parts, block, steps).transpose(2, 0, 1))
+        if len(self.room) < code.size * (TAGS + EMBED):
+            self.room = np.empty(code.size * (TAGS + EMBED), dtype=np.float32)
+        emit = self.room[:code.size * TAGS].reshape(steps, parts, TAGS, block)
+        x = self.room[code.size * TAGS:code.size * (TAGS + EMBED)].reshape(steps, parts, EMBED, block)
+        for t in range(0, steps, 16):
+            x[t:t + 16] = self.embed[code[t:t + 16]].transpose(0, 1, 3, 2)
+        state = np.zeros((2, parts, HIDDEN + EMBED + 1, block), dtype=np.float32)
+        state[:, :, -1] = 1
+        h, ahead, back = state[:, :, :HIDDEN], state[0, :, HIDDEN:-1], state[1, :, HIDDEN:-1]
+        # the memory cell, candidate, forget, input and output gate, scores; so cell and candidate lie as their gates do
+        z, other = np.zeros((2, parts, 5 * HIDDEN + TAGS, block), dtype=np.float32), np.empty((2, parts, HIDDEN, block), dtype=np.float32)
+        c, n, _, _, o = (z[:, :, g * HIDDEN:(g + 1) * HIDDEN] for g in range(5))
+        product, squashed, gates = z[:, :, HIDDEN:], z[:, :, HIDDEN:5 * HIDDEN], z[:, :, 2 * HIDDEN:5 * HIDDEN]
+        pair, pair_gates, half, one = z[:, :, :2 * HIDDEN], z[:, :, 2 * HIDDEN:4 * HIDDEN], np.float32(0.5), np.float32(1)
+        emit[:] = 0
+        for t in range(steps):
+            ahead[...], back[...] = x[t], x[steps - 1 - t]
+            np.matmul(self.into, state, out=product)
+            if t:
+                emit[t - 1] += z[0, :, 5 * HIDDEN:]
+                emit[steps - t] += z[1, :, 5 * HIDDEN:]
+            np.tanh(squashed, out=squashed)
+            np.add(gates, one, out=gates)
+            np.multiply(pair, pair_gates, out=pair)
+            np.add(c, n, out=c)
+            np.multiply(c, half, out=c)
+            np.tanh(c, out=other)
+            np.multiply(o, other, out=h)
+        np.matmul(self.into, state, out=product)
+        emit[-1] += z[0, :, 5 * HIDDEN:]
+        emit[0] += z[1, :, 5 * HIDDEN:]
+        return emit
+
+    def _parts(self, batch: np.ndarray):
+        """Bounds of about equal parts of at most ``BATCH`` windows, and their scores."""
+        cuts = np.linspace(0, len(batch), 1 - (-len(batch) // BATCH)).astype(int).tolist()
+        for lo, hi in zip(cuts, cuts[1:]):
+            yield lo, hi, self._emissions(batch[lo:hi])
 
     def scores(self, batch: np.ndarray) -> np.ndarray:
-        """(T, B, TAGS) emission scores for (B, T) codes; windows lie along the last axis inside, so that numpy's loops are long."""
-        size, steps = batch.shape
-        x = np.ascontiguousarray(self.embed[batch].transpose(1, 2, 0))
-        both = np.empty((2, steps, HIDDEN, size), dtype=np.float32)
-        state, c = np.zeros((2, HIDDEN + EMBED + 1, size), dtype=np.float32), np.zeros((2, HIDDEN, size), dtype=np.float32)
-        z, other = np.empty((2, 4 * HIDDEN, size), dtype=np.float32), np.empty_like(c)
-        with np.errstate(over="ignore"):  # exp may reach infinity, whose sigmoid is 0
-            for t in range(steps):
-                state[0, HIDDEN:], state[1, HIDDEN:] = x[t], x[steps - 1 - t]
-                np.matmul(self.into, state, out=z)
-                _sigmoid_of_negative(z)
-                f, i, o, n = (z[:, g * HIDDEN:(g + 1) * HIDDEN] for g in range(4))
-                n *= 2
-                n -= 1
-                n *= i
-                c *= f
-                c += n
-                np.multiply(c, -2, out=other)
-                _sigmoid_of_negative(other)
-                other *= 2
-                other -= 1
-                np.multiply(o, other, out=state[:, :HIDDEN])
-                both[0, t], both[1, steps - 1 - t] = state[:, :HIDDEN]
-        emit = self.out[:, :HIDDEN] @ both[0]
-        emit += self.out[:, HIDDEN:] @ both[1]
-        return emit.transpose(0, 2, 1) + self.bias
+        """(T, B, TAGS) emission scores for (B, T) codes."""
+        return np.concatenate([emit.transpose(0, 1, 3, 2).reshape(len(emit), -1, TAGS)[:, :hi - lo] for lo, hi, emit in self._parts(batch)], axis=1)
+
+    def _open(self, emit: np.ndarray) -> np.ndarray:
+        """For each window (blocks, block) whether some step gains by a tag other than outside."""
+        gain = self.gain[1:, None]
+        found = (emit[0, :, 1:] - self.lift[1:, None] >= emit[0, :, :1]).any(1)
+        for t in range(1, len(emit), 16):
+            found |= ((emit[t:t + 16, :, 1:] + gain).max(2) >= emit[t:t + 16, :, 0]).any(0)
+        return found
 
     def paths(self, batch: np.ndarray) -> np.ndarray:
-        emit = self.scores(batch)
-        other = (emit[..., 1:] + self.gain[1:]).max(2)
-        other[0] = (emit[0, :, 1:] - self.lift[1:]).max(1)
-        open_ = np.flatnonzero((other >= emit[..., 0]).any(0))
-        out = np.zeros(batch.shape, dtype=np.uint8)
-        if len(open_):
-            out[open_] = _best_paths(emit[:, open_], self.move)
+        out, at, kept = np.zeros(batch.shape, dtype=np.uint8), [], []
+        for lo, hi, emit in self._parts(batch):
+            part, place = np.nonzero(self._open(emit))
+            which = lo + part * emit.shape[3] + place
+            real = which < hi
+            at.append(which[real])
+            kept.append(emit[:, part[real], :, place[real]].transpose(1, 0, 2))
+            if hi == len(batch) or sum(map(len, at)) >= BATCH:
+                which = np.concatenate(at)
+                if len(which):
+                    out[which] = _best_paths(np.concatenate(kept, axis=1), self.move)
+                at, kept = [], []
         return out
 
 
@@ -396,16 +428,15 @@ def tagged(texts: list[str], model: Decoder | None):
     for lo in range(0, len(texts), 128):
         part = texts[lo:lo + 128]
         cut = [windows(t) if model and t else None for t in part]
-        flat = [w for w in cut if w is not None]
-        paths = [np.zeros((0, WIDTH), dtype=np.uint8)]
+        flat, at = [w for w in cut if w is not None], 0
         if flat:
-            every = np.concatenate(flat)
-            paths += [model.paths(every[at:at + BATCH]) for at in range(0, len(every), BATCH)]
-        paths, at = np.concatenate(paths), 0
+            paths = model.paths(np.concatenate(flat))
         for text, w in zip(part, cut):
             base, own = base_spans(text), []
             if w is not None:
-                own = tag_spans(reconciled(paths[at:at + len(w)], len(text)))
+                mine = paths[at:at + len(w)]
+                if mine.any():
+                    own = tag_spans(reconciled(mine, len(text)))
                 at += len(w)
             yield base, with_base(base, own, len(text))
 

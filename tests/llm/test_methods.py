@@ -1,6 +1,8 @@
 """Single steps of operators against plain forms of them."""
 
 import itertools
+import re
+import time
 
 import numpy as np
 import pytest
@@ -58,6 +60,61 @@ def test_decoder_equals_the_model(outside):
         assert not want.all(1).any() and (got[~want.any(1)] == 0).all()
 
 
+def test_decoder_by_parts_and_blocks(monkeypatch):
+    rng = np.random.default_rng(7)
+    model = pii_tagger.BiLstmCrf()
+    model.w["move"] = rng.normal(0, 0.7, model.w["move"].shape)
+    model.w["out"] *= 4
+    model.w["bias"][0] = 2.5
+    batch = rng.integers(0, pii_tagger.CHARS, (83, pii_tagger.WIDTH)).astype(np.uint8)
+    decoder = pii_tagger.Decoder(model.w)
+    scores, paths = decoder.scores(batch), decoder.paths(batch)
+    assert paths.any(1).any() and not paths.any(1).all()
+    monkeypatch.setattr(pii_tagger, "BATCH", 30)
+    monkeypatch.setattr(pii_tagger, "BLOCK", 8)
+    assert np.allclose(decoder.scores(batch), scores, atol=1e-5) and (decoder.paths(batch) == paths).mean() > 0.9999
+    assert decoder.paths(batch[:0]).shape == (0, pii_tagger.WIDTH)
+
+
+def test_decoder_costs_little_more_than_its_products_and_tanh():
+    rng = np.random.default_rng(8)
+    batch = rng.integers(0, pii_tagger.CHARS, (384, pii_tagger.WIDTH)).astype(np.uint8)
+    decoder = pii_tagger.Decoder(pii_tagger.BiLstmCrf().w)
+    assert decoder.paths(batch).any(1).all()  # so no window is spared the Viterbi recursion
+    gates = 4 * pii_tagger.HIDDEN
+    into, state = (rng.normal(size=(2, *shape)).astype(np.float32) for shape in ((gates, 29), (29, 384)))
+    z = np.empty((2, gates, 384), dtype=np.float32)
+
+    def least():
+        for _ in range(pii_tagger.WIDTH):
+            np.matmul(into, state, out=z)
+            np.tanh(z, out=z)
+
+    def seconds(run):
+        start = time.process_time()
+        run()
+        return time.process_time() - start
+
+    took = [(seconds(lambda: decoder.paths(batch)), seconds(least)) for _ in range(5)]
+    assert min(t for t, _ in took) < 7 * min(t for _, t in took)
+
+
+def test_base_spans_by_the_patterns_alone():
+    rng = np.random.default_rng(12)
+    email, ip = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"
+    card, phone = r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"
+    digits = lambda m: sum(c in "0123456789" for c in m[0])
+    passes = (lambda m: True, lambda m: all(int(p) <= 255 for p in m[0].split(".")),
+              lambda m: 12 <= digits(m) <= 19 and pii_tagger._luhn(re.sub("[^0-9]", "", m[0])), lambda m: 9 <= digits(m) <= 15)
+    seen = set()
+    for _ in range(3000):
+        text = "".join(rng.choice(list("0011223456789..- +()@ab"), rng.integers(0, 90)))
+        want = sorted((m.start(), k, m.end()) for k, (p, ok) in enumerate(zip((email, ip, card, phone), passes)) for m in re.finditer(p, text) if ok(m))
+        assert pii_tagger.base_spans(text) == want
+        seen |= {k for _, k, _ in want}
+    assert seen == {0, 1, 2, 3}
+
+
 @pytest.mark.parametrize("length", [1, 255, 256, 257, 448, 449, 5000])
 def test_windows_are_reconciled_over_whole_texts(length):
     text = "".join(chr(33 + k % 90) for k in range(length))
