@@ -5,7 +5,8 @@ import pyarrow as pa
 import pytest
 
 import __spark_entry__ as entry
-from goldtally.operators import extract, score
+from goldtally.operators import align, extract, score
+from goldtally.plans import insurance
 from goldtally.sources import io
 from goldtally.suite import bundles, claims, scoring
 
@@ -98,3 +99,52 @@ def test_patient_outcomes_are_stored(spark, monkeypatch):
     monkeypatch.setattr(score, "stored_outcomes", lambda out: stored.append(out) or out)
     bundles.patient_scorecard(spark, "/root/testdata/sf0.001")
     assert len(stored) == 1
+
+
+CLAIM_TABLES = {
+    "customer": "SELECT k::BIGINT AS c_custkey, 'Customer ' || k AS c_name, 'BUILDING' AS c_mktsegment FROM range(0, 20) t(k)",
+    "orders": """SELECT k::BIGINT AS o_orderkey, (k % 23)::BIGINT AS o_custkey, TIMESTAMP '1995-01-01' + INTERVAL (k % 900) DAY AS o_orderdate,
+                        'OFP'[k % 3 + 1] AS o_orderstatus, '3-MEDIUM' AS o_orderpriority, k * 10.25 AS o_totalprice FROM range(0, 400) t(k)""",
+    "lineitem": """SELECT (k % 390)::BIGINT AS l_orderkey, (k % 5)::BIGINT AS l_partkey, (k % 3)::BIGINT AS l_suppkey, (k // 390)::INT AS l_linenumber,
+                          (k % 50)::DOUBLE AS l_quantity, 900.5 + k % 4 AS l_extendedprice, 0.1 AS l_discount, 0.0 AS l_tax,
+                          'A' AS l_returnflag, 'OF'[k % 2 + 1] AS l_linestatus, TIMESTAMP '1995-02-01' AS l_shipdate FROM range(0, 1500) t(k)"""}
+
+
+@pytest.fixture
+def claims_kept(spark, tmp_path, monkeypatch):
+    """Small claim tables, and what a query over them stores."""
+    for name, sql in CLAIM_TABLES.items():
+        store(tmp_path, name, sql)
+    kept = {}
+    for module in (align, claims):
+        keep = module.store
+        monkeypatch.setattr(module, "store", lambda df, name, keep=keep: kept.setdefault(name, keep(df, name)))
+    return kept
+
+
+def _done(kept):
+    return kept["pairing"].schema["_done"].dataType.names
+
+
+def test_error_table_stores_counts_and_sorts_nothing(spark, tmp_path, claims_kept):
+    """Of a record without search, numbers and first messages by kind are stored; notes are not sorted by kind or key."""
+    assert len(check(spark, tmp_path, "error_table")) == 8
+    assert _done(claims_kept) == ["record_id", *insurance.KINDS]
+    assert "lines" in claims_kept["claims"].columns and "gold_objects" not in claims_kept["claims"].columns
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        final = entry.queries()["error_table"](spark, str(tmp_path))
+        assert "Sort [" not in final._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_error_table_counts_a_repeated_record_once(spark):
+    note = lambda kind, message: (kind, message)
+    rows = [(1, [note("wrong_value", "b"), note("wrong_value", "a")]), (1, [note("wrong_value", "c"), note("failed", "f")]),
+            (2, [note("wrong_value", "d")]), (3, []), (None, [note("failed", "e")])]
+    df = spark.createDataFrame(rows, "record_id long, notes array<struct<kind:string,message:string>>")
+    noted = df.withColumns({k: insurance.notes_of_kind(df["notes"], k) for k in insurance.KINDS})
+    got = {r["kind"]: tuple(r)[1:] for r in insurance.error_table(noted).collect()}
+    assert got == {"wrong_value": (4, 2, "a"), "failed": (2, 1, "e")}
