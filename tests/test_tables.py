@@ -148,3 +148,9 @@ def test_error_table_counts_a_repeated_record_once(spark):
     noted = df.withColumns({k: insurance.notes_of_kind(df["notes"], k) for k in insurance.KINDS})
     got = {r["kind"]: tuple(r)[1:] for r in insurance.error_table(noted).collect()}
     assert got == {"wrong_value": (4, 2, "a"), "failed": (2, 1, "e")}
+
+
+def test_invented_list_carries_and_stores_lists_only(spark, tmp_path, claims_kept):
+    assert check(spark, tmp_path, "invented_list")
+    assert claims_kept["claims"].columns == ["o_orderkey", "lines"]
+    assert _done(claims_kept) == ["record_id", "seq", "_dyn"]
