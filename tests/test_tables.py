@@ -154,3 +154,9 @@ def test_invented_list_carries_and_stores_lists_only(spark, tmp_path, claims_kep
     assert check(spark, tmp_path, "invented_list")
     assert claims_kept["claims"].columns == ["o_orderkey", "lines"]
     assert _done(claims_kept) == ["record_id", "seq", "_dyn"]
+
+
+def test_align_pairs_carries_lists_and_stores_pairs_only(spark, tmp_path, claims_kept):
+    assert len(check(spark, tmp_path, "align_pairs")) == 400
+    assert claims_kept["claims"].columns == ["o_orderkey", "lines"]
+    assert _done(claims_kept) == ["record_id", "n_gold", "n_pred", "assignment", "n_paired", "object_matches"]
