@@ -160,3 +160,8 @@ def test_align_pairs_carries_lists_and_stores_pairs_only(spark, tmp_path, claims
     assert len(check(spark, tmp_path, "align_pairs")) == 400
     assert claims_kept["claims"].columns == ["o_orderkey", "lines"]
     assert _done(claims_kept) == ["record_id", "n_gold", "n_pred", "assignment", "n_paired", "object_matches"]
+
+
+def test_record_accuracy_stores_numbers_only(spark, tmp_path, claims_kept):
+    assert len(check(spark, tmp_path, "record_accuracy")) == 400
+    assert not {"g", "p", "_a_g", "_a_p"} & set(_done(claims_kept)) and len(_done(claims_kept)) == 9
